@@ -59,6 +59,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Enough partitions for a Python stage that is heavy per byte.
+
+    Partitions are cut by bytes, so a small table may be a single task. A table that already has a
+    partition per core is left alone: nothing large is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers (once per SparkContext)."""
     sc = spark.sparkContext
