@@ -37,14 +37,17 @@ def round_exact(value: Column, digits: int) -> Column:
         return (base + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / scale
 
     def rounded(v: Column) -> Column:
-        return F.when(v.isNull() | F.isnan(v), v).otherwise(_bind(two_product(v), decide))
+        return F.when(v.isNull() | F.isnan(v), v).otherwise(bind(two_product(v), decide))
 
-    return _bind(value.cast("double"), rounded)
+    return bind(value.cast("double"), rounded)
 
 
-def _bind(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn(value)`` with ``value`` evaluated once however often ``fn`` uses it: nested roundings
-    would otherwise multiply the size of the expression. For report rows, not for corpus rows."""
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(value)`` with ``value`` evaluated once however often ``fn`` uses it.
+
+    Nested roundings would otherwise multiply the size of the expression, and the branches of a CASE
+    would each run the same regular expression again.
+    """
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 

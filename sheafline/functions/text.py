@@ -11,6 +11,10 @@ GROUP_PATTERN = r"<([^<>]+)>"
 FAILED_REPLY = "0 Error"
 DRY_RUN_REPLY = "0 Test mode"
 NULL_TEXT = "nan"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -33,14 +37,13 @@ def strip_newlines(text: Column | str) -> Column:
 
 
 def strip_space(text: Column | str) -> Column:
-    """Trim all Unicode white space (``trim`` would take blanks only)."""
-    left = F.regexp_replace(_col(text), r"(?U)^[\s\x1c-\x1f]+", "")
-    return F.regexp_replace(left, r"(?U)[\s\x1c-\x1f]+\z", "")
+    """Trim all Unicode white space (plain ``trim`` takes blanks only); looks at the ends only."""
+    return F.btrim(_col(text), F.lit(WHITE_SPACE))
 
 
 def words(text: Column | str) -> Column:
     """Tokens between runs of white space."""
-    return F.filter(F.split(_col(text), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    return F.filter(F.split(_col(text), f"[{WHITE_SPACE}]+"), lambda w: w != "")
 
 
 def word_count(text: Column | str) -> Column:

@@ -37,6 +37,18 @@ def range_splitters(df: DataFrame, order: str, buckets: int) -> list:
     return sorted(set(row["q"] or []))
 
 
+def range_bucket(value: Column, cuts: list) -> Column:
+    """The number of cut values below ``value``, as a binary search of nested CASEs."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value <= cuts[middle], search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(cuts))
+
+
 def with_row_number(
     df: DataFrame,
     group: list[str],
@@ -51,9 +63,7 @@ def with_row_number(
     window share the key ``group + bucket``: one shuffle of the rows.
     """
     cuts = range_splitters(df, order, buckets)
-    # the number of cut values below the order value
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    keyed = df.withColumn("_bucket", bucket)
+    keyed = df.withColumn("_bucket", range_bucket(F.col(order), cuts))
     offsets = _offsets(keyed, group, ["_bucket"], "_before", "_size").drop("_size")
     # null-safe keys keep the rows of an unnamed group
     on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*group, "_bucket"]])

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sheafline.functions.numbers import bind
 from sheafline.functions.text import marked_groups, preview, strip_space, word_count
-from sheafline.operators.ranking import range_splitters
+from sheafline.operators.ranking import range_bucket, range_splitters
+from sheafline.session import materialize
 
 HEADER_ROWS = 2  # a row index of 0 is line 2 of a sheet: one header line, counting from 1
 REQUIRED = ("text", "label")
@@ -98,35 +100,44 @@ def label_issue(label: Column, data_type: T.DataType, where: Column) -> Column:
 
 def text_issue(text: Column, where: Column) -> Column:
     """Issue of one text, null when it has exactly one ordinary ``<...>`` group."""
-    stripped = strip_space(text)
-    groups = marked_groups(stripped)
-    n = F.size(groups)
-    group = strip_space(F.get(groups, F.lit(0)))
-    n_words = word_count(group)
-    quoted = quoted_list(groups)
-
-    def error(code: str, *parts: Column | str) -> Column:
-        message = F.concat(where, *[F.lit(p) if isinstance(p, str) else p for p in parts])
-        return _issue("error", "text", "text_null" if code == "missing" else "text_format", code, message)
 
-    def warning(code: str, *parts: Column | str) -> Column:
+    def issue(severity: str, section: str, code: str, *parts: Column | str) -> Column:
         message = F.concat(where, *[F.lit(p) if isinstance(p, str) else p for p in parts])
-        return _issue("warning", "text", "text_format", code, message)
-
-    return (
-        F.when(text.isNull(), error("missing", "Missing/null value"))
-        .when(stripped == "", error("empty", "Empty text value"))
-        .when(n == 0, error("no_group", "No angular bracket group found - '", preview(stripped, 50), "'"))
-        .when(
-            n > 1,
-            error("multiple_groups", "Multiple angular bracket groups found (", n.cast("string"), "): ", quoted),
-        )
-        .when(group == "", warning("blank_group", "Empty angular bracket group '<>'"))
-        .when(
-            n_words > MAX_GROUP_WORDS,
-            warning("long_group", "Long angular bracket group (", n_words.cast("string"), " words) '<", group, ">'"),
-        )
-    )
+        return _issue(severity, "text", section, code, message)
+
+    def of_group(group: Column) -> Column:
+        n = word_count(group)
+        blank = issue("warning", "text_format", "blank_group", "Empty angular bracket group '<>'")
+        long = issue(
+            "warning", "text_format", "long_group",
+            "Long angular bracket group (", n.cast("string"), " words) '<", group, ">'",
+        )
+        return F.when(group == "", blank).when(n > MAX_GROUP_WORDS, long)
+
+    def of_text(stripped: Column) -> Column:
+        def of_groups(groups: Column) -> Column:
+            n = F.size(groups)
+            none = issue(
+                "error", "text_format", "no_group", "No angular bracket group found - '", preview(stripped, 50), "'"
+            )
+            many = issue(
+                "error", "text_format", "multiple_groups",
+                "Multiple angular bracket groups found (", n.cast("string"), "): ", quoted_list(groups),
+            )
+            only = bind(strip_space(F.get(groups, F.lit(0))), of_group)
+            return F.when(n == 0, none).when(n > 1, many).otherwise(only)
+
+        empty = issue("error", "text_format", "empty", "Empty text value")
+        return F.when(stripped == "", empty).otherwise(bind(marked_groups(stripped), of_groups))
+
+    missing = issue("error", "text_null", "missing", "Missing/null value")
+    return F.when(text.isNull(), missing).when(~_ordinary(text), bind(strip_space(text), of_text))
+
+
+def _ordinary(text: Column) -> Column:
+    """One pass that settles the usual row: a single group, neither blank nor long."""
+    group = F.regexp_extract(text, r"\A[^<>]*+<([^<>]++)>[^<>]*+\z", 1)
+    return bind(group, lambda g: (strip_space(g) != "") & (word_count(g) <= MAX_GROUP_WORDS))
 
 
 def quoted_list(values: Column) -> Column:
@@ -241,13 +252,13 @@ def overall(summary: DataFrame, total_sheets: int | None = None) -> DataFrame:
 def numbered(issues: DataFrame, buckets: int = 64) -> DataFrame:
     """Issues of each severity numbered from 1 in report order: sheet, section, row.
 
-    Only blocks of (sheet, section, row range) are sorted as rows; the numbers of the blocks come
-    from a running sum over per-sheet counts and one over each sheet's own blocks.
+    The issues are written once to the shared scratch folder, so that the texts are checked a single
+    time. Only blocks of (sheet, section, row range) are sorted as rows; the numbers of the blocks
+    come from a running sum over per-sheet counts and one over each sheet's own blocks.
     """
+    issues = materialize(issues)
     cuts = range_splitters(issues, "row_idx", buckets)
-    row = F.coalesce(F.col("row_idx"), F.lit(-1))
-    block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < row)) if cuts else F.lit(0)
-    keyed = issues.withColumn("_b", block)
+    keyed = issues.withColumn("_b", range_bucket(F.coalesce("row_idx", F.lit(-1)), cuts))
     place = ["severity", "sheet_ord", "sheet", "section", "_b"]
     sizes = keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
     in_sheet = Window.partitionBy("severity", "sheet_ord", "sheet").orderBy("section", "_b")
