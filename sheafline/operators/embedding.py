@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.functions.text import first_span, strip_marks
+from sheafline.session import spread
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -55,6 +56,7 @@ def compound(sentence: Column, span: Column) -> Column:
 
 def compound_embedding(df: DataFrame, factory: Callable[[], Encoder] | None = None, dims: int = 64) -> DataFrame:
     """``embedding`` from ``full_sentence`` and ``bracketed_text``."""
+    df = spread(df)
     if factory is None:
         both = hashed_ngrams(hashed_ngrams(df, "full_sentence", "_sv", dims), "bracketed_text", "_bv", dims)
     else:

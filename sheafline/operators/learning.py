@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
@@ -58,18 +61,22 @@ def fit_logistic(df: DataFrame, rows: int, max_iter: int = 1000, c: float = 1.0)
     ).fit(df)
 
 
-def evaluate_logistic(model: LogisticRegressionModel, test: DataFrame) -> DataFrame:
-    """Confusion cells in percent and support-weighted precision, recall, F1: one row."""
-    scored = model.transform(test.select("features", "label")).withColumn("_one", F.lit(1))
-    counts = confusion_counts(scored, ["_one"], pred="prediction")
+def _quality(counts: DataFrame, by: list[str]) -> DataFrame:
     table = weighted_prf(confusion_percent(counts))
     return table.select(
+        *by,
         F.col("n").alias("test_sentences"),
         "true_positives", "true_negatives", "false_positives", "false_negatives",
         "precision", "recall", "f1",
     )
 
 
+def evaluate_logistic(model: LogisticRegressionModel, test: DataFrame) -> DataFrame:
+    """Confusion cells in percent and support-weighted precision, recall, F1: one row."""
+    scored = model.transform(test.select("features", "label")).withColumn("_one", F.lit(1))
+    return _quality(confusion_counts(scored, ["_one"], pred="prediction"), [])
+
+
 def learning_curve(
     train: DataFrame,
     test: DataFrame,
@@ -77,27 +84,42 @@ def learning_curve(
     percents: tuple[int, ...] = (10, 20, 30, 40, 50, 60, 70, 80, 90, 100),
     seed: int = 42,
     max_iter: int = 1000,
+    parallelism: int = 4,
 ) -> DataFrame:
     """One logistic fit per training share against a fixed test set.
 
-    The loop runs over the handful of shares; every fit and evaluation is distributed. Features are
-    cached (spilling to disk) because each fit reads them once per iteration.
+    The fits of the handful of shares are submitted from ``parallelism`` driver threads, each is
+    distributed. Features are cached (spilling to disk) because a fit reads them once per iteration.
+    All models are evaluated in one pass over the test set.
     """
     marked = learning_subsets(train.select(row_id, "features", "label"), row_id, percents, seed)
     marked = marked.persist(StorageLevel.MEMORY_AND_DISK)
-    test = test.select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
-    sizes = {r["from_percent"]: r["count"] for r in marked.groupBy("from_percent").count().collect()}
-    curve = None
-    for percent in sorted(percents):
-        rows = sum(n for p, n in sizes.items() if p <= percent)
-        if rows == 0:
-            continue
+    counts = {r["from_percent"]: r["count"] for r in marked.groupBy("from_percent").count().collect()}
+    sizes = {p: sum(n for q, n in counts.items() if q <= p) for p in sorted(percents)}
+    shares = [(p, n) for p, n in sizes.items() if n > 0]
+
+    @inheritable_thread_target(train.sparkSession)
+    def fit(share: tuple[int, int]) -> LogisticRegressionModel:
+        percent, rows = share
         model = fit_logistic(marked.filter(F.col("from_percent") <= percent), rows, max_iter)
-        point = evaluate_logistic(model, test).select(
-            F.lit(percent).alias("train_percentage"), F.lit(rows).cast("long").alias("train_sentences"), "*"
+        return model.setPredictionCol(f"_p{percent}").setProbabilityCol("").setRawPredictionCol("")
+
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(fit, shares)
+    marked.unpersist()
+    scored = test.select("features", "label")
+    for model in models:
+        scored = model.transform(scored)
+    cells = [
+        F.struct(
+            F.lit(p).alias("train_percentage"),
+            F.lit(n).cast("long").alias("train_sentences"),
+            F.col(f"_p{p}").alias("prediction"),
         )
-        curve = point if curve is None else curve.unionByName(point)
-    return curve
+        for p, n in shares
+    ]
+    by = ["train_percentage", "train_sentences"]
+    return _quality(confusion_counts(scored.select("label", F.inline(F.array(*cells))), by, pred="prediction"), by)
 
 
 def save_model(model, path: str) -> None:

@@ -21,6 +21,7 @@ from sheafline.functions.text import (
     render_prompt,
     strip_newlines,
 )
+from sheafline.session import spread
 
 Scorer = Callable[[list[str]], list[str]]
 REPLY_TYPE = "struct<reply:string,error:string>"
@@ -111,9 +112,10 @@ def score(
 ) -> DataFrame:
     """Adds ``ai_label, ai_reply, error``; a failed row has the reply ``0 Error``, hence label 0.
 
-    ``budget`` names a BOOLEAN column; rows outside it get nulls. No shuffle. Write or
-    ``materialize`` the result when it feeds several outputs, or the scorer runs for each of them.
+    ``budget`` names a BOOLEAN column; rows outside it get nulls. No shuffle, unless the table has
+    fewer partitions than there are cores. Write or ``materialize`` the result when it feeds several outputs, or the scorer runs for each of them.
     """
+    df = spread(df)
     sent = strip_newlines(text) if prompt is None else prompt
     if budget:
         sent = F.when(F.col(budget), sent)
