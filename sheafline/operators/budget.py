@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafline.session import materialize
+
 
 def sheet_quotas(
     sheets: DataFrame, max_per_sheet: int | None, max_total: int | None, count: str = "rows"
@@ -45,11 +47,12 @@ def row_budget(
     """Rows of the sheets that were reached, with ``in_budget``; later rows of a sheet stay, unscored.
 
     ``sheets`` may be given where the sizes are known (ingest metadata); otherwise one narrow count.
-    The quota table joins by Spark's own size check: broadcast while small, and when it is not, AQE
-    splits the partition of a hot sheet.
+    The quota table is written first, so that Spark joins it by its true size: broadcast while small
+    (the rows are not shuffled), and when it is not, AQE splits the partition of a hot sheet.
     """
     sheets = sheet_table(df) if sheets is None else sheets
     quotas = sheet_quotas(sheets, max_per_sheet, max_total).filter("reached").select("sheet", "quota")
+    quotas = materialize(quotas)
     return df.join(quotas, "sheet").withColumn("in_budget", F.col("row_idx") < F.col("quota")).drop("quota")
 
 

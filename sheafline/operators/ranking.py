@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sheafline.session import materialize
+
 HASH_DIGITS = 3  # 16**3 hash buckets per group
 
 
@@ -59,12 +61,13 @@ def with_row_number(
 ) -> DataFrame:
     """Dense row number per group in the order of a unique numeric column.
 
-    The cut values are fixed once, so a retried task sees the same buckets. The offset join and the
-    window share the key ``group + bucket``: one shuffle of the rows.
+    The cut values are fixed once, so a retried task sees the same buckets. The offsets (groups x
+    buckets rows) are written first: Spark sees their true size and broadcasts them only while they
+    are small. The rows are shuffled once, by group and bucket.
     """
     cuts = range_splitters(df, order, buckets)
     keyed = df.withColumn("_bucket", range_bucket(F.col(order), cuts))
-    offsets = _offsets(keyed, group, ["_bucket"], "_before", "_size").drop("_size")
+    offsets = materialize(_offsets(keyed, group, ["_bucket"], "_before", "_size").drop("_size"))
     # null-safe keys keep the rows of an unnamed group
     on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*group, "_bucket"]])
     joined = keyed.alias("r").join(offsets.alias("o"), on).select("r.*", "o._before")
@@ -87,7 +90,8 @@ def rank_cutoffs(
     key`` with ``key = struct(hash, id)``; ranks outside the group are absent. A row of the group is
     among the first ``rank`` rows exactly when its own ``row_key`` is ``<= key``, so callers mark wide
     rows against this small table and never shuffle or sort them. Only the one bucket per target that
-    contains the wanted rank is sorted.
+    contains the wanted rank is shuffled and sorted. Runs a narrow job: the wanted buckets are
+    written first, so that Spark joins them by their true size.
     """
     keyed = df.select(*group, row_key(row_id, seed).alias("key"))
     narrow = keyed.withColumn("_bucket", F.substring(F.col("key.h"), 1, digits))
@@ -98,14 +102,10 @@ def rank_cutoffs(
     wanted = offsets.join(targets, group).filter(
         (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_size"))
     )
-    wanted = wanted.select(*group, "_bucket", "cut", (F.col("rank") - F.col("_before")).alias("_need"))
+    wanted = materialize(wanted.select(*group, "_bucket", "cut", (F.col("rank") - F.col("_before")).alias("_need")))
     window = Window.partitionBy(*group, "_bucket", "cut").orderBy("key")
-    return (
-        narrow.join(wanted, [*group, "_bucket"])
-        .withColumn("_at", F.row_number().over(window))
-        .filter(F.col("_at") == F.col("_need"))
-        .select(*group, "cut", "key")
-    )
+    found = narrow.join(wanted, [*group, "_bucket"]).withColumn("_at", F.row_number().over(window))
+    return found.filter(F.col("_at") == F.col("_need")).select(*group, "cut", "key")
 
 
 def row_key(row_id: str, seed: int = 42) -> Column:

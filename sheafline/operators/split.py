@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheafline.operators.ranking import pivot_cutoffs, rank_cutoffs, row_key
+from sheafline.session import materialize
 
 
 def split_quota(df: DataFrame, sheet: str = "sheet", label: str = "label") -> DataFrame:
@@ -51,7 +52,8 @@ def balanced_split(
         F.explode(F.expr("map('train', half, 'test', 2 * half)")).alias("cut", "rank"),
     )
     rows = narrow.filter(F.col(label).isin(0, 1)).withColumn(label, F.col(label).cast("int"))
-    keys = pivot_cutoffs(rank_cutoffs(rows, [sheet, label], row_id, targets, seed), [sheet, label], ["train", "test"])
+    cuts = rank_cutoffs(rows, [sheet, label], row_id, targets, seed)
+    keys = materialize(pivot_cutoffs(cuts, [sheet, label], ["train", "test"]))
     keys = keys.select(
         F.col(sheet).alias("_s"), F.col(label).alias("_l"), F.col("train").alias("_train"), F.col("test").alias("_test")
     )
@@ -78,7 +80,7 @@ def holdout_split(
     narrow = narrow.select(row_id, sheet)
     held = F.expr(f"(count(1) * {percent} + 99) div 100")
     targets = narrow.groupBy(sheet).agg(held.alias("rank")).withColumn("cut", F.lit("held"))
-    keys = pivot_cutoffs(rank_cutoffs(narrow, [sheet], row_id, targets, seed), [sheet], ["held"])
+    keys = materialize(pivot_cutoffs(rank_cutoffs(narrow, [sheet], row_id, targets, seed), [sheet], ["held"]))
     keys = keys.select(F.col(sheet).alias("_s"), F.col("held").alias("_held"))
     marked = df.join(keys, df[sheet] == F.col("_s"), "left")
     split = F.when(_at_most("_held", row_id, seed), F.lit(names[1])).otherwise(F.lit(names[0]))

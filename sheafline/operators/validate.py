@@ -268,7 +268,7 @@ def numbered(issues: DataFrame, buckets: int = 64) -> DataFrame:
     blocks = sizes.withColumn("_in_sheet", F.sum("_n").over(in_sheet) - F.col("_n")).join(
         sheets, ["severity", "sheet_ord", "sheet"]
     )
-    before = blocks.select(*place, (F.col("_sheet_before") + F.col("_in_sheet")).alias("_before"))
+    before = materialize(blocks.select(*place, (F.col("_sheet_before") + F.col("_in_sheet")).alias("_before")))
     inside = Window.partitionBy(*place).orderBy("row_idx", "column", "message")
     return (
         keyed.join(before, place)

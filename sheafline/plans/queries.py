@@ -381,7 +381,7 @@ def word_list(spark, sf):
 
 def _sheet_order(spark: SparkSession, sf: str) -> DataFrame:
     docs = views.table(spark, sf, "documents").select(F.col("source").alias("sheet"))
-    return corpus_source.with_sheet_order(docs).distinct()
+    return corpus_source.sheet_order(docs)
 
 
 def _label_rows(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafline.operators.embedding import from_wide, vector_columns
+from sheafline.session import materialize
 
 CORPUS_SCHEMA = T.StructType(
     [
@@ -46,10 +47,14 @@ def read_corpus_csv(spark: SparkSession, path: str, sheet: str | None = None) ->
     return rows.withColumn("sheet", F.lit(sheet)) if sheet else rows
 
 
+def sheet_order(df: DataFrame, sheet: str = "sheet", name: str = "sheet_ord") -> DataFrame:
+    """Sheets numbered by name: a one-row-per-sheet table, written so that joins see its true size."""
+    return materialize(df.select(sheet).distinct().withColumn(name, F.row_number().over(Window.orderBy(sheet))))
+
+
 def with_sheet_order(df: DataFrame, sheet: str = "sheet", name: str = "sheet_ord") -> DataFrame:
-    """Position of each sheet by name, numbered in the one-row-per-sheet table."""
-    sheets = df.select(sheet).distinct().withColumn(name, F.row_number().over(Window.orderBy(sheet)))
-    return df.join(sheets, sheet)
+    """Adds each row's sheet position."""
+    return df.join(sheet_order(df, sheet, name), sheet)
 
 
 def union_sheets(frames: list[DataFrame]) -> DataFrame:
