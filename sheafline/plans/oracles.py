@@ -107,11 +107,18 @@ def r9(x: str) -> str:
     return f"round({x}, 9)"
 
 
-REGR_COLS = f"{r9(MSE)} AS mse, {r9('sqrt(' + MSE + ')')} AS rmse, {r9('avg(abs(y-p))')} AS mae, {r9(R2)} AS r2_score"
-DIST_COLS = f"{r9('avg(p)')} AS pred_mean, {r9('stddev_pop(p)')} AS pred_std, {r9('min(p)')} AS pred_min, {r9('max(p)')} AS pred_max"
+def regr_cols(r=r9) -> str:
+    return f"{r(MSE)} AS mse, {r('sqrt(' + MSE + ')')} AS rmse, {r('avg(abs(y-p))')} AS mae, {r(R2)} AS r2_score"
 
 
-def report(group: str, name: str, digits: bool = True) -> str:
+def dist_cols(r=r9) -> str:
+    return f"{r('avg(p)')} AS pred_mean, {r('stddev_pop(p)')} AS pred_std, {r('min(p)')} AS pred_min, {r('max(p)')} AS pred_max"
+
+
+REGR_COLS, DIST_COLS = regr_cols(), dist_cols()
+
+
+def report(group: str, name: str, r9=r9) -> str:
     c = {
         "tp": "count(*) FILTER (WHERE p>=0.5 AND y=1)", "tn": "count(*) FILTER (WHERE p<0.5 AND y=0)",
         "fp": "count(*) FILTER (WHERE p>=0.5 AND y=0)", "fn": "count(*) FILTER (WHERE p<0.5 AND y=1)",
@@ -120,13 +127,18 @@ def report(group: str, name: str, digits: bool = True) -> str:
     acc = div(f"{c['tp']}+{c['tn']}", "count(*)")
     return (
         f"SELECT {name} AS sheet, count(*) AS n_samples, count(*) FILTER (WHERE y=0) AS n_label_0, "
-        f"count(*) FILTER (WHERE y=1) AS n_label_1, {REGR_COLS}, {r9(acc)} AS accuracy, {r9(p)} AS precision, "
+        f"count(*) FILTER (WHERE y=1) AS n_label_1, {regr_cols(r9)}, {r9(acc)} AS accuracy, {r9(p)} AS precision, "
         f"{r9(r)} AS recall, {r9(f1(p, r))} AS f1_score, {c['tp']} AS true_positives, {c['tn']} AS true_negatives, "
-        f"{c['fp']} AS false_positives, {c['fn']} AS false_negatives, {DIST_COLS} FROM regr {group}"
+        f"{c['fp']} AS false_positives, {c['fn']} AS false_negatives, {dist_cols(r9)} FROM regr {group}"
     )
 
 
-REPORT_TOTAL = f"SELECT *, 0 AS is_total FROM ({report('GROUP BY regr.sheet', 'regr.sheet')}) UNION ALL SELECT *, 1 FROM ({report('', chr(39) + 'TOTAL' + chr(39))})"
+def report_total(r=r9) -> str:
+    sheets, everything = report("GROUP BY regr.sheet", "regr.sheet", r), report("", "'TOTAL'", r)
+    return f"SELECT *, 0 AS is_total FROM ({sheets}) UNION ALL SELECT *, 1 FROM ({everything})"
+
+
+REPORT_TOTAL = report_total()
 
 STATS = """
 SELECT sheet, is_total, rows, positive, negative,
@@ -287,7 +299,7 @@ def oracle_sql() -> dict[str, str]:
         "regression_by_sheet": f"WITH {REGR} SELECT sheet, count(*) AS n_samples, {REGR_COLS}, {DIST_COLS} FROM regr GROUP BY sheet",
         "regression_report": f"WITH {REGR} {report('GROUP BY regr.sheet', 'regr.sheet')}",
         "report_total": f"WITH {REGR} {REPORT_TOTAL}",
-        "macro_mean": f"WITH {REGR}, t AS ({REPORT_TOTAL}) SELECT {r9('avg(accuracy)')} AS avg_accuracy, {r9('avg(f1_score)')} AS avg_f1, {r9('avg(CASE WHEN NOT isnan(r2_score) THEN r2_score END)')} AS avg_r2 FROM t",
+        "macro_mean": f"WITH {REGR}, t AS ({report_total(lambda x: x)}) SELECT {r9('avg(accuracy)')} AS avg_accuracy, {r9('avg(f1_score)')} AS avg_f1, {r9('avg(CASE WHEN NOT isnan(r2_score) THEN r2_score END)')} AS avg_r2 FROM t",
         "pred_histogram": f"WITH {REGR}, b AS (SELECT y_true AS label, min(p) AS lo, max(p) AS hi FROM regr GROUP BY 1), bins AS (SELECT b.*, CAST(i AS INT) AS bin FROM b, range(0, 20) t(i)), h AS (SELECT y_true AS label, least(CAST(floor((p - lo) / ((hi - lo) / 20)) AS INT), 19) AS bin, count(*) AS k FROM regr JOIN b ON b.label = y_true GROUP BY 1, 2) SELECT label, bin, {r9('lo + bin * (hi - lo) / 20')} AS bin_low, coalesce(k, 0) AS rows FROM bins LEFT JOIN h USING (label, bin)",
         "threshold_labels": f"WITH {REGR} SELECT vec_id, y_true, CAST(p >= 0.5 AS INT) AS y_bin FROM regr",
         "corpus_stats": f"WITH {KEYS} {STATS.format('sheet')}",
