@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import curriculum, jump_hash, quality_rules
+from sheafline.llm import curriculum, jump_hash, quality_rules, setsketch
 from sheafline.llm.words import table
 
 SHARDS = 24
 
 
+def op3_setsketch_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf, "documents"))
+
+
 def op7_jump_shards(spark: SparkSession, sf: str) -> DataFrame:
     return jump_hash.shard_manifest(table(spark, sf, "documents"), SHARDS)
 
@@ -26,5 +30,5 @@ def op10_risk_rules(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in names))
 
 
-QUERIES = {f.__name__: f for f in (op7_jump_shards, op9_curriculum_mix, op10_risk_rules)}
+QUERIES = {f.__name__: f for f in (op3_setsketch_dedup, op7_jump_shards, op9_curriculum_mix, op10_risk_rules)}
 ORACLES: dict[str, str] = {}
