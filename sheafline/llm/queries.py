@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import chat_format, curriculum, jump_hash, quality_rules, setsketch, viterbi_scan
+from sheafline.llm import chat_format, curriculum, jump_hash, lsh_forest, quality_rules, setsketch, viterbi_scan
 from sheafline.llm.words import table
 
 SHARDS = 24
@@ -15,6 +15,11 @@ def op3_setsketch_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf, "documents"))
 
 
+def op4_prefix_forest(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return lsh_forest.nearest_vectors(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op5_viterbi_pieces(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     shared = viterbi_scan.share(spark)
@@ -51,5 +56,5 @@ def op10_risk_rules(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in names))
 
 
-QUERIES = {f.__name__: f for f in (op3_setsketch_dedup, op5_viterbi_pieces, op7_jump_shards, op8_chat_template, op9_curriculum_mix, op10_risk_rules)}
+QUERIES = {f.__name__: f for f in (op3_setsketch_dedup, op4_prefix_forest, op5_viterbi_pieces, op7_jump_shards, op8_chat_template, op9_curriculum_mix, op10_risk_rules)}
 ORACLES: dict[str, str] = {}
