@@ -164,7 +164,7 @@ def nearest_vectors(
         "vector",
     )
     right = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
         F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("group"),
         F.col("vec_id").alias("query_id"),
         "vector",
