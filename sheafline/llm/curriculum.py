@@ -149,7 +149,7 @@ def mix(
     return (
         out.select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
         .withColumn("first", F.get("positions", F.lit(0)))
-        .repartitionByRange(F.col("first").asc_nulls_last())
+        .repartitionByRange(F.col("first").asc_nulls_last(), "doc_id")
         .sortWithinPartitions(F.col("first").asc_nulls_last(), "doc_id")
         .drop("first")
     )
