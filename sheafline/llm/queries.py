@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import arc_convert, chat_format, curriculum, jump_hash, lsh_forest, quality_rules, setsketch, style_tree, viterbi_scan
+from sheafline.llm import arc_convert, chat_format, curriculum, jump_hash, lsh_forest, quality_rules, setsketch, style_tree, viterbi_scan, weak_labels
 from sheafline.llm.words import table
 
 SHARDS = 24
@@ -15,6 +15,11 @@ def op1_arc_to_warc(spark: SparkSession, sf: str) -> DataFrame:
     return arc_convert.page_records(table(spark, sf, "pages"))
 
 
+def op2_weak_labels(spark: SparkSession, sf: str) -> DataFrame:
+    out = weak_labels.classified(table(spark, sf, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_good").alias("score"), F.col("_kept").alias("kept"))
+
+
 def op3_setsketch_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, sf, "documents"))
 
@@ -64,5 +69,5 @@ def op10_risk_rules(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in names))
 
 
-QUERIES = {f.__name__: f for f in (op1_arc_to_warc, op3_setsketch_dedup, op4_prefix_forest, op5_viterbi_pieces, op6_style_tree, op7_jump_shards, op8_chat_template, op9_curriculum_mix, op10_risk_rules)}
+QUERIES = {f.__name__: f for f in (op1_arc_to_warc, op2_weak_labels, op3_setsketch_dedup, op4_prefix_forest, op5_viterbi_pieces, op6_style_tree, op7_jump_shards, op8_chat_template, op9_curriculum_mix, op10_risk_rules)}
 ORACLES: dict[str, str] = {}
