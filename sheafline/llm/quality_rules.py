@@ -229,18 +229,20 @@ def risk_cutoffs(
         for k, cut in enumerate(grid)
     ]
     allowed = F.lit(level) / (strata * F.lit(len(grids)))
-    cells = counts.select("g", "n_good", allowed.alias("allowed"), F.explode(F.array(*tests)).alias("t")).select(
+    counts = counts.withColumn("allowed", allowed)  # before the rows are multiplied
+    cells = counts.select("g", "n_good", "allowed", F.explode(F.array(*tests)).alias("t")).select(
         "g", "n_good", "allowed", "t.*"
     )
     tail = binomial_tail(F.col("n_good"), F.col("lost"), risk / len(grids))
     cells = materialize(cells.withColumn("fails", tail > F.col("allowed")))
     # the strictest cutoff before a rule's first failure
     first = F.min(F.when(F.col("fails"), F.col("step"))).over(Window.partitionBy("g", "rule"))
-    stands = cells.withColumn("first", first).filter("first is null or step < first")
+    stands = F.col("first").isNull() | (F.col("step") < F.col("first"))
     return (
-        cells.select("g", "n_good")
-        .distinct()
-        .join(stands.groupBy("g").pivot("rule", list(grids)).agg(F.min("cut")), "g", "left")
+        cells.withColumn("first", first)
+        .groupBy("g", "n_good")
+        .pivot("rule", list(grids))
+        .agg(F.min(F.when(stands, F.col("cut"))))
         .filter(F.col("g.is_default") | (F.col("n_good") >= min_good))
         .select("g.*", "n_good", *grids)
     )
