@@ -6,16 +6,18 @@ agree in a register with about the probability of their similarity.
 
 1. One pass over the texts makes (id, size, digest of the set, registers); no text leaves it.
 2. Documents with equal sets are one representative, found by a grouped minimum.
-3. Registers are banded. A representative's home is its most populous bucket, cut into blocks of at
-   most about BLOCK documents; two blocks that meet in any bucket are a block pair. Block pairs
-   instead of document pairs are shuffled: a group of n near copies makes (n / BLOCK)**2 rows.
+3. Registers are banded. A representative's home is one of its populous buckets, chosen so that
+   similar documents share few homes, and cut into blocks of about BLOCK documents; two blocks that
+   meet in any bucket are a block pair. Block pairs instead of document pairs are shuffled: a group
+   of n near copies makes about (n / BLOCK)**2 of them.
 4. A block pair estimates the similarity of all its document pairs by maximum likelihood from the
-   register comparison, verifies those that may reach the limit on their full sets, and returns a
-   spanning forest of the links, so no link between components is lost.
-5. Components by minimum labels with pointer jumping.
+   register comparison. Only documents with an estimate that may reach the limit go on.
+5. Their full sets are made again from the texts. A block pair verifies its likely pairs on them and
+   returns a spanning forest of the links, so no link between components is lost.
+6. Components by minimum labels with pointer jumping.
 
-At a similarity of exactly 0.75 no band agrees with probability 3e-7, and the estimate is more than
-0.15 too low with probability 3e-9; both fall quickly above.
+At a similarity of exactly 0.75 no band agrees with probability 2e-6, and the estimate is more than
+0.15 too low with probability 4e-8; both fall quickly above.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from sheafline.session import materialize, ship_package
 
 SHINGLE, LIMIT = 5, 75  # words; percent
 BASE, RATE = 1.02, 20.0
-BAND, BANDS = 5, 56
+BAND, BANDS = 5, 48
 REGISTERS = BAND * BANDS
 BLOCK = 128
 #: Estimates below this are not verified.
@@ -92,9 +94,10 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(registers: np.ndarray) -> np.ndarray:
-    """Exact keys: the five 12-bit registers of a band side by side."""
-    parts = registers.reshape(len(registers), BANDS, BAND).astype(np.int64)
-    return (parts << (12 * np.arange(BAND))).sum(axis=2)
+    """[set, band] bucket keys: the five 12-bit registers of a band side by side, mixed with its number."""
+    parts = registers.reshape(len(registers), BANDS, BAND).astype(np.uint64)
+    keys = (parts << (_U(12) * np.arange(BAND, dtype=np.uint64))).sum(axis=2, dtype=np.uint64)
+    return mix64(keys + mix64(np.arange(1, BANDS + 1, dtype=np.uint64))).view(np.int64)
 
 
 def likely_similarity(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
@@ -151,39 +154,56 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)),
-                pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(keys))),
                 pa.array(keys.reshape(-1)),
             ],
-            names=["doc_id", "band", "key"],
+            names=["doc_id", "key"],
         )
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 64):  # sets may be larger than their texts
-            ids, texts, registers, digests = batch.slice(start, 64).columns
-            part = [shingle_set(t.as_py()).tobytes() for t in texts]
-            # a row that repeats the id with another text is not the representative
-            own = pa.array([xxhash.xxh3_128_digest(s) == d.as_py() for s, d in zip(part, digests)], pa.bool_())
-            out = pa.RecordBatch.from_arrays(
-                [ids, pa.array(part, pa.binary()), registers], names=["doc_id", "shingles", "registers"]
+            ids, texts = batch.slice(start, 64).columns
+            sets = [shingle_set(t.as_py()) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                names=["doc_id", "digest", "shingles"],
             )
-            yield out.filter(own)
+
+
+def _sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in order, the positions of the left and right documents, and the registers."""
+    table = table.sort_by([("side", "ascending"), ("doc_id", "ascending")])
+    side = table.column("side").to_numpy()
+    left = np.flatnonzero(side == 0)
+    right = left if side.max(initial=0) == 0 else np.flatnonzero(side == 1)
+    registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.int16).reshape(-1, REGISTERS)
+    return table, left, right, registers
+
+
+def _promising(table: pa.Table) -> pa.Table:
+    """The documents of a block pair with a partner whose estimate may reach the limit."""
+    table, left, right, registers = _sides(table)
+    sizes = table.column("n").to_numpy().astype(np.float64)
+    wanted = np.zeros(len(table), bool)
+    if len(left) and len(right):
+        near = likely_similarity(registers[left], registers[right], sizes[left], sizes[right]) >= LEAST_ESTIMATE
+        near &= table.column("doc_id").to_numpy()[left][:, None] != table.column("doc_id").to_numpy()[right]
+        wanted[left[near.any(axis=1)]] = True
+        wanted[right[near.any(axis=0)]] = True
+    return table.select(["block_a", "block_b", "side", "doc_id"]).filter(pa.array(wanted))
 
 
 def _verified(table: pa.Table) -> pa.Table:
     """A spanning forest of the links between the two blocks of a pair (or within one block)."""
+    table, left, right, registers = _sides(table)
     ids = table.column("doc_id").to_numpy()
-    side = table.column("side").to_numpy()
-    order = np.lexsort((ids, side))
-    ids, side = ids[order], side[order]
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
-    sets = [sets[k] for k in order]
-    registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.int16)
-    registers = registers.reshape(-1, REGISTERS)[order]
     sizes = np.array([len(s) for s in sets], np.float64)
-    left = np.flatnonzero(side == 0)
-    right = left if side.max(initial=0) == 0 else np.flatnonzero(side == 1)
     root = {int(i): int(i) for i in ids}
 
     def find(a: int) -> int:
@@ -238,6 +258,23 @@ def components(links: DataFrame) -> DataFrame:
         labels = stepped.drop("was")
 
 
+def _homes(bucketed: DataFrame) -> DataFrame:
+    """doc_id, block from the buckets (doc_id, key, members) that hold two documents or more.
+
+    Everyone starts in their most populous bucket and moves twice to the one of their buckets in
+    which most live, so that a group of similar documents ends in few homes.
+    """
+    rank = lambda *c: F.max(F.struct(*c, "members", "key")).alias("h")
+    homes = bucketed.groupBy("doc_id").agg(rank()).select("doc_id", "h.*")
+    for _ in range(3):
+        living = materialize(homes.groupBy("key").agg(F.count("*").alias("living")))
+        homes = bucketed.join(living, "key").groupBy("doc_id").agg(rank("living")).select("doc_id", "h.*")
+    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("now") / F.lit(BLOCK)))
+    homes = materialize(homes.select("doc_id", "key"))
+    last = homes.groupBy("key").agg(F.count("*").alias("now"))
+    return materialize(homes.join(last, "key").select("doc_id", F.xxhash64("key", chunk).alias("block")))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``documents`` (doc_id, text).
 
@@ -254,56 +291,57 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         texts.mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, registers binary")
     )
     real = sketched.filter("doc_id is not null and n_shingles > 0")
-    # sets of one or two shingles have no partner but an equal set
     first = real.groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n")
     )
     reps = materialize(first)
+    # sets of one or two shingles have no partner but an equal set
     banded = (
-        reps.filter("n > 2").select(F.col("rep").alias("doc_id"), "registers").mapInArrow(
-            _banded, "doc_id long, band int, key long"
-        )
-    )
-    full = banded.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("doc_id").alias("low"))
-    bucketed = materialize(banded.join(full.filter("members > 1"), ["band", "key"]))
-    best = F.max(F.struct("members", F.col("band").alias("home_band"), F.col("key").alias("home_key")))
-    homes = bucketed.groupBy("doc_id").agg(best.alias("h"))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("h.members") / F.lit(BLOCK)))
-    homes = materialize(
-        homes.select("doc_id", F.xxhash64("h.home_band", "h.home_key", chunk).alias("block"))
+        reps.filter("n > 2")
+        .select(F.col("rep").alias("doc_id"), "registers")
+        .mapInArrow(_banded, "doc_id long, key long")
     )
-    meets = bucketed.join(homes, "doc_id").select("band", "key", "block").distinct()
-    met = materialize(meets)
-    pairs = (
+    full = banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    bucketed = materialize(banded.join(materialize(full), "key"))
+    homes = _homes(bucketed)
+    met = materialize(bucketed.join(homes, "doc_id").select("key", "block").distinct())
+    pairs = materialize(
         met.withColumnRenamed("block", "block_a")
-        .join(met.withColumnRenamed("block", "block_b"), ["band", "key"])
+        .join(met.withColumnRenamed("block", "block_b"), "key")
         .filter("block_a <= block_b")
         .select("block_a", "block_b")
         .distinct()
     )
-    wanted = reps.select(F.col("rep").alias("doc_id"), "registers", "digest").join(homes.select("doc_id"), "doc_id")
-    sets = materialize(
-        texts.join(wanted, "doc_id")
-        .select("doc_id", "text", "registers", "digest")
-        .mapInArrow(_shingled, "doc_id long, shingles binary, registers binary")
-        .join(homes, "doc_id")
+    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("block"))
+    both = F.when(F.col("block_a") == F.col("block_b"), F.array(side(0, "block_a"))).otherwise(
+        F.array(side(0, "block_a"), side(1, "block_b"))
     )
-    pairs = materialize(pairs)
     # a block of one document has nothing to compare within itself
-    sides = pairs.select(
-        "block_a", "block_b", F.explode(
-            F.when(F.col("block_a") == F.col("block_b"), F.array(F.struct(F.lit(0).alias("side"), F.col("block_a").alias("block"))))
-            .otherwise(F.array(
-                F.struct(F.lit(0).alias("side"), F.col("block_a").alias("block")),
-                F.struct(F.lit(1).alias("side"), F.col("block_b").alias("block")),
-            ))
-        ).alias("s")
-    ).select("block_a", "block_b", "s.*")
-    crowd = homes.groupBy("block").agg(F.count("*").alias("docs")).filter("docs > 1").select("block")
-    sides = sides.join(crowd.withColumnRenamed("block", "block_a").withColumn("crowd", F.lit(True)), "block_a", "left")
-    sides = sides.filter("block_a <> block_b or crowd").drop("crowd")
+    crowds = homes.groupBy("block").agg(F.count("*").alias("docs")).filter("docs > 1").select("block")
+    worth = pairs.filter("block_a <> block_b").unionByName(
+        pairs.filter("block_a = block_b").join(crowds, F.col("block_a") == F.col("block"), "left_semi")
+    )
+    sketches = materialize(
+        reps.select(F.col("rep").alias("doc_id"), "registers", "n", "digest").join(homes, "doc_id")
+    )
+    promising = materialize(
+        worth.select("block_a", "block_b", F.explode(both).alias("s"))
+        .select("block_a", "block_b", "s.*")
+        .join(sketches.drop("digest"), "block")
+        .select("block_a", "block_b", "side", "doc_id", "registers", "n")
+        .groupBy("block_a", "block_b")
+        .applyInArrow(_promising, "block_a long, block_b long, side int, doc_id long")
+    )
+    likely = materialize(promising.select("doc_id").distinct())
+    sets = materialize(
+        texts.join(likely, "doc_id", "left_semi")
+        .mapInArrow(_shingled, "doc_id long, digest binary, shingles binary")
+        # a row that repeats the id with another text is not the representative
+        .join(sketches.select("doc_id", "digest", "registers"), ["doc_id", "digest"])
+        .drop("digest")
+    )
     links = (
-        sides.join(sets, "block")
+        promising.join(sets, "doc_id")
         .select("block_a", "block_b", "side", "doc_id", "shingles", "registers")
         .groupBy("block_a", "block_b")
         .applyInArrow(_verified, "a long, b long")
