@@ -35,7 +35,7 @@ BLANK = "▁"
 ESCAPE, MARKED = "\ue000", "\ue001"
 SCALE = 1 << 20
 LOWEST = -(1 << 60)
-CACHE = 1 << 18
+CACHE = 1 << 19
 
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _ESCAPED = re.compile(f"{ESCAPE}([{ESCAPE}{MARKED}])")
@@ -139,13 +139,48 @@ def best_path(p: Pieces, text: str, start: int, stop: int) -> tuple[int, list[in
     return score[stop], ids
 
 
+def unit_path(p: Pieces, unit: str) -> tuple[int, list[int]]:
+    """:func:`best_path` of a whole unit: the same recursion without border states, where every
+    position is reached."""
+    n, get, longest, unknown = len(unit), p.table.get, p.longest, p.unknown
+    score = [LOWEST] * (n + 1)
+    score[0] = 0
+    source, piece = [0] * (n + 1), [-1] * (n + 1)
+    for at in range(n):
+        here, single = score[at], False
+        for end in range(at + 1, min(n, at + longest) + 1):
+            found = get(unit[at:end])
+            if found is None:
+                break
+            known, value = found
+            if known >= 0:
+                if end == at + 1:
+                    single = True
+                value += here
+                if value >= score[end]:
+                    score[end], source[end], piece[end] = value, at, known
+        if not single and here + unknown >= score[at + 1]:
+            score[at + 1], source[at + 1], piece[at + 1] = here + unknown, at, -1
+    ids: list[int] = []
+    at = n
+    while at:
+        before = source[at]
+        if piece[at] >= 0:
+            ids.append(piece[at])
+        else:
+            ids.extend(p.byte_ids[b] for b in reversed(unit[before:at].encode("utf-8", "surrogatepass")))
+        at = before
+    ids.reverse()
+    return score[n], ids
+
+
 def encode_units(p: Pieces, text: str) -> tuple[int, list[int]]:
     """Score and ids of a text that starts and ends at piece borders."""
     total, ids, cache = 0, [], p.cache
     for unit in _UNITS.findall(text):
         found = cache.get(unit)
         if found is None:
-            score, path = best_path(p, unit, 0, len(unit))
+            score, path = unit_path(p, unit)
             found = (score, tuple(path))
             if len(unit) <= 64:
                 if len(cache) >= CACHE:
