@@ -145,7 +145,7 @@ class ArcReader:
 
     def _length(self, header: list[bytes]) -> int:
         line = header[0]
-        if line.startswith(b"filedesc:"):  # before the version is known: the last field in any version
+        if self.records.start == 0 and line.startswith(b"filedesc:"):  # its version is not known yet
             last = line.rsplit(b" ", 1)[-1]
             return int(last) if last.isdigit() else 0
         found = self._parse(line)
@@ -165,7 +165,7 @@ class ArcReader:
         if done is None:
             return None
         (line, *_), block, offset = done
-        if line.startswith(b"filedesc:"):
+        if offset == 0 and line.startswith(b"filedesc:"):
             first = block.split(b"\n", 1)[0].split(b" ", 1)[0]
             self.version = int(first) if first.isdigit() and int(first) in FIELDS else 1
         found = self._parse(line)
@@ -185,8 +185,8 @@ def iso_date(stamp: str) -> str:
 
 
 def split_http(record: ArcRecord) -> tuple[bytes, bytes]:
-    """HTTP header and payload of a record; other protocols have no header."""
-    if record.fields["URL"].lower().startswith(("http:", "https:", "about:")) and record.block.startswith(b"HTTP/"):
+    """HTTP header and payload of a record; the version block and other protocols have no header."""
+    if record.offset and record.block.startswith(b"HTTP/"):
         cut = record.block.find(b"\r\n\r\n")
         if cut >= 0:
             return record.block[: cut + 4], record.block[cut + 4 :]
@@ -195,7 +195,7 @@ def split_http(record: ArcRecord) -> tuple[bytes, bytes]:
 
 def kind_of(record: ArcRecord) -> str:
     """The WARC type that an ARC record corresponds to."""
-    if record.fields["URL"].startswith("filedesc:"):
+    if record.offset == 0 and record.fields["URL"].startswith("filedesc:"):
         return "warcinfo"
     return "response" if split_http(record)[0] else "resource"
 
