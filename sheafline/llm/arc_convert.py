@@ -125,7 +125,9 @@ class Records:
         return out
 
     def rest(self):
-        """What the archive broke off in, if anything."""
+        """What the archive broke off in, if anything, without the line feed assumed behind it."""
+        if self.block and self.block[-1] == b"\n":
+            self.block.pop()
         return (self.header, b"".join(self.block), self.start) if self.header else None
 
 

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from sheafline.session import ship_package
 
 TREES, BITS = 64, 20
-#: The trees ascend until they hold this many candidates per row of the block, repeats counted.
+#: The trees ascend until they hold this many candidates per row of the block, repeats counted, and
+#: two more than asked for in the mean of the trees.
 CANDIDATES = 0.7
 ROWS, QUERIES = 16384, 4096  # of a block
 NEAREST = 5
@@ -97,7 +98,10 @@ def _searcher(nearest: int, trees: int, bits: int, share: float):
             first = np.searchsorted(entry[order], np.arange(len(distinct) + 1))
             planes = directions(vectors.shape[1], trees, bits)
             near = candidates(
-                codes(distinct, planes, trees, bits), codes(wanted, planes, trees, bits), bits, share * len(distinct)
+                codes(distinct, planes, trees, bits),
+                codes(wanted, planes, trees, bits),
+                bits,
+                max(share * len(distinct), trees * (nearest + 2)),
             )
             length = np.sqrt((distinct * distinct).sum(axis=1))
             for q, rows_ in enumerate(near):

@@ -203,7 +203,7 @@ def risk_cutoffs(
     held = ruled.filter(~F.col(f"{prefix}base_failed")).join(good.filter("_good = 1"), "doc_id")
 
     def passed(rule: str) -> Column:
-        """How many cutoffs of the grid reject the document (the grid falls)."""
+        """How many cutoffs of the grid reject the document: the last ones, as the grid falls."""
         out = F.lit(0)
         for cut in grids[rule]:
             out = out + (F.col(prefix + rule) > F.lit(float(cut))).cast("int")
@@ -219,7 +219,7 @@ def risk_cutoffs(
         *(passed(r).alias(r) for r in grids),
     )
     rejected = [
-        F.sum((F.col(r) > F.lit(k)).cast("long")).alias(f"{r}#{k}") for r, grid in grids.items() for k in range(len(grid))
+        F.sum((F.col(r) >= F.lit(len(grid) - k)).cast("long")).alias(f"{r}#{k}") for r, grid in grids.items() for k in range(len(grid))
     ]
     counts = materialize(each.groupBy("g").agg(F.count("*").alias("n_good"), *rejected))
     strata = F.count("*").over(Window.partitionBy())
