@@ -224,15 +224,19 @@ def _full(p: Pieces, text: str, start: int, own: int, states: int) -> np.ndarray
     return out
 
 
-def transfer(p: Pieces, text: str, own: int) -> np.ndarray:
-    """The chunk's max-plus matrix: entry state (characters used already) x exit state."""
+def transfer(p: Pieces, text: str, own: int, scored: bool = False) -> np.ndarray:
+    """The chunk's max-plus matrix: entry state (characters used already) x exit state.
+
+    The border states of the best path do not change if a constant is added to a matrix, so what
+    every path through the chunk has in common is left out, unless ``scored`` asks for true scores.
+    """
     inner = _inner(p, text, own)
     if inner is None:
         return _full(p, text, 0, own, p.longest)
     first, last = inner
     enter = np.array([best_path(p, text, i, first)[0] for i in range(p.longest)], np.int64)
     leave = _full(p, text, last, own, 1)[0]
-    middle = encode_units(p, text[first:last])[0]
+    middle = encode_units(p, text[first:last])[0] if scored else 0
     return np.where(leave[None, :] > LOWEST, enter[:, None] + middle + leave[None, :], LOWEST)
 
 
