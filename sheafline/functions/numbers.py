@@ -19,7 +19,8 @@ def round_exact(value: Column, digits: int) -> Column:
     Spark's ``round`` and ``bround`` round the shortest decimal text of a double, so 201/400 (just
     below 0.5025 in binary) goes up there. Here the product with ``10**digits`` is split into a
     rounded part and its exact error (Dekker's two-product), so the comparison with one half is
-    exact. Valid for ``abs(value) * 10**digits < 2**52``; null and NaN pass through.
+    exact. Values of ``2**52 / 10**digits`` and more have no digits to round, so they (and
+    infinities), null and NaN pass through.
     """
     scale = float(10**digits)
 
@@ -37,7 +38,8 @@ def round_exact(value: Column, digits: int) -> Column:
         return (base + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))) / scale
 
     def rounded(v: Column) -> Column:
-        return F.when(v.isNull() | F.isnan(v), v).otherwise(bind(two_product(v), decide))
+        exact = F.abs(v) >= F.lit(2.0**52 / scale)
+        return F.when(v.isNull() | F.isnan(v) | exact, v).otherwise(bind(two_product(v), decide))
 
     return bind(value.cast("double"), rounded)
 

@@ -18,6 +18,8 @@ def sheet_quotas(
     absent from the output. 0 or None means unlimited. Only this one-row-per-sheet table meets a
     window without partitions.
     """
+    if any(limit is not None and limit < 0 for limit in (max_per_sheet, max_total)):
+        raise ValueError("limits are not negative")
     size = F.col(count)
     if "failed" in sheets.columns:
         size = F.when(F.col("failed"), F.lit(0)).otherwise(size)
@@ -40,8 +42,8 @@ def sheet_table(df: DataFrame, sheet: str = "sheet") -> DataFrame:
 
 def row_budget(
     df: DataFrame,
-    max_per_sheet: int | None = 5,
-    max_total: int | None = 50,
+    max_per_sheet: int | None = None,
+    max_total: int | None = None,
     sheets: DataFrame | None = None,
 ) -> DataFrame:
     """Rows of the sheets that were reached, with ``in_budget``; later rows of a sheet stay, unscored.

@@ -46,7 +46,8 @@ def encoder_udf(factory: Callable[[], Encoder], batch_size: int = 256):
                 vectors += list(np.asarray(model(values[at : at + batch_size]), dtype=np.float32))
             yield pd.Series(vectors, index=texts.index)
 
-    return encode
+    # evaluated once per row, even where a filter uses the result
+    return encode.asNondeterministic()
 
 
 def compound(sentence: Column, span: Column) -> Column:
@@ -54,9 +55,11 @@ def compound(sentence: Column, span: Column) -> Column:
     return F.concat(sentence, span)
 
 
-def compound_embedding(df: DataFrame, factory: Callable[[], Encoder] | None = None, dims: int = 64) -> DataFrame:
-    """``embedding`` from ``full_sentence`` and ``bracketed_text``."""
-    df = spread(df)
+def compound_embedding(
+    df: DataFrame, factory: Callable[[], Encoder] | None = None, dims: int = 64, partitions: int | None = None
+) -> DataFrame:
+    """``embedding`` from ``full_sentence`` and ``bracketed_text``; ``partitions`` as in ``spread``."""
+    df = spread(df, partitions)
     if factory is None:
         both = hashed_ngrams(hashed_ngrams(df, "full_sentence", "_sv", dims), "bracketed_text", "_bv", dims)
     else:
@@ -69,9 +72,15 @@ METADATA = ["sheet", "full_sentence", "bracketed_text", "label"]
 
 
 def to_wide(df: DataFrame, dims: int, vector: str = "embedding", metadata: list[str] | None = None) -> DataFrame:
-    """Export form: metadata first, then ``emb_0 … emb_{d-1}``."""
+    """Export form: metadata first, then ``emb_0 … emb_{d-1}``. A vector of another length is an
+    error, a null vector a row of nulls."""
     metadata = [c for c in METADATA if c in df.columns] if metadata is None else metadata
-    return df.select(*metadata, *[F.get(vector, F.lit(i)).alias(f"emb_{i}") for i in range(dims)])
+    length = F.size(F.col(vector))
+    wrong = F.col(vector).isNotNull() & (length != dims)
+    message = F.concat(F.lit(f"expected {dims} dimensions, found "), length.cast("string"))
+    checked = F.when(wrong, F.raise_error(message).cast("array<float>")).otherwise(F.col(vector).cast("array<float>"))
+    wide = df.withColumn(vector, checked)
+    return wide.select(*metadata, *[F.get(vector, F.lit(i)).alias(f"emb_{i}") for i in range(dims)])
 
 
 def vector_columns(columns: list[str], prefix: str = "emb_") -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -16,7 +17,7 @@ from sheafline.operators.metrics import confusion_counts, confusion_percent, wei
 from sheafline.operators.regression import regression_metrics
 from sheafline.operators.split import learning_subsets
 
-NORMAL_EQUATION_LIMIT = 4096  # the solver's own limit on features
+NORMAL_EQUATION_LIMIT = 4096  # fixed value: the library's own limit on features
 TINY_RIDGE = 1e-6
 
 
@@ -27,12 +28,13 @@ def with_features(df: DataFrame, vector: str = "embedding", label: str = "label"
     )
 
 
-def fit_ols(df: DataFrame, dims: int, min_norm: bool = False) -> LinearRegressionModel:
+def fit_ols(df: DataFrame, dims: int, min_norm: bool = False, solver: str = "normal") -> LinearRegressionModel:
     """Least squares with intercept. The normal equation needs one pass and a d x d matrix per task;
-    wider vectors use L-BFGS. ``min_norm`` adds a tiny ridge for data with more features than rows,
+    vectors of more than 4096 dimensions need ``solver="l-bfgs"``. ``min_norm`` adds a tiny ridge for data with more features than rows,
     where plain solvers end at another of the exact solutions.
     """
-    solver = "normal" if dims <= NORMAL_EQUATION_LIMIT else "l-bfgs"
+    if solver == "normal" and dims > NORMAL_EQUATION_LIMIT:
+        raise ValueError(f"the normal equation takes {NORMAL_EQUATION_LIMIT} dimensions at most; use l-bfgs")
     ridge = {"regParam": TINY_RIDGE, "elasticNetParam": 0.0, "standardization": False} if min_norm else {}
     return LinearRegression(featuresCol="features", labelCol="label", predictionCol="y_pred", solver=solver, **ridge).fit(df)
 
@@ -61,6 +63,14 @@ def fit_logistic(df: DataFrame, rows: int, max_iter: int = 1000, c: float = 1.0)
     ).fit(df)
 
 
+def warn_unless_converged(model: LogisticRegressionModel, max_iter: int, name: str = "fit") -> None:
+    """The solver gives up silently: say so when it ended while the objective still fell."""
+    history = list(model.summary.objectiveHistory) if model.hasSummary else []
+    falling = len(history) > 1 and history[-2] - history[-1] > 1e-5 * max(abs(history[-1]), 1e-12)
+    if falling or len(history) > max_iter:
+        warnings.warn(f"{name}: the logistic fit did not converge in {len(history) - 1} iterations", stacklevel=2)
+
+
 def _quality(counts: DataFrame, by: list[str]) -> DataFrame:
     table = weighted_prf(confusion_percent(counts))
     return table.select(
@@ -102,6 +112,7 @@ def learning_curve(
     def fit(share: tuple[int, int]) -> LogisticRegressionModel:
         percent, rows = share
         model = fit_logistic(marked.filter(F.col("from_percent") <= percent), rows, max_iter)
+        warn_unless_converged(model, max_iter, f"{percent} %")
         return model.setPredictionCol(f"_p{percent}").setProbabilityCol("").setRawPredictionCol("")
 
     with ThreadPool(parallelism) as pool:

@@ -99,15 +99,24 @@ def rank_cutoffs(
         group = ["_all"]
         narrow, targets = narrow.withColumn("_all", F.lit(0)), targets.withColumn("_all", F.lit(0))
     offsets = _offsets(narrow, group, ["_bucket"], "_before", "_size")
-    wanted = offsets.join(targets, group).filter(
+    wanted = _null_safe(offsets, targets, group).filter(
         (F.col("rank") > F.col("_before")) & (F.col("rank") <= F.col("_before") + F.col("_size"))
     )
     wanted = materialize(wanted.select(*group, "_bucket", "cut", (F.col("rank") - F.col("_before")).alias("_need")))
     window = Window.partitionBy(*group, "_bucket", "cut").orderBy("key")
-    found = narrow.join(wanted, [*group, "_bucket"]).withColumn("_at", F.row_number().over(window))
+    found = _null_safe(narrow, wanted, [*group, "_bucket"]).withColumn("_at", F.row_number().over(window))
     return found.filter(F.col("_at") == F.col("_need")).select(*group, "cut", "key")
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null equals null; the keys come from the left."""
+    renamed = right.select(*(F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(renamed, same).drop(*(f"_r_{c}" for c in keys))
+
+
 def row_key(row_id: str, seed: int = 42) -> Column:
     """Total order of rows: seeded hash, then id."""
     return F.struct(seeded_hash(row_id, seed).alias("h"), F.col(row_id).alias("id"))

@@ -92,7 +92,8 @@ def reply_udf(factory: Callable[[], Scorer], batch_size: int = 10, gap: float |
             frame = pd.DataFrame(results, columns=["reply", "error"], index=wanted.index, dtype=object)
             yield frame.reindex(texts.index)
 
-    return score
+    # a filter on the reply must not score a row a second time
+    return score.asNondeterministic()
 
 
 def _attach(df: DataFrame, result: str) -> DataFrame:
@@ -109,13 +110,14 @@ def score(
     text: str = "text",
     budget: str | None = None,
     prompt: Column | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds ``ai_label, ai_reply, error``; a failed row has the reply ``0 Error``, hence label 0.
 
-    ``budget`` names a BOOLEAN column; rows outside it get nulls. No shuffle, unless the table has
-    fewer partitions than there are cores. Write or ``materialize`` the result when it feeds several outputs, or the scorer runs for each of them.
+    ``budget`` names a BOOLEAN column; rows outside it get nulls. No shuffle, unless
+    ``partitions`` asks for that many tasks. Write or ``materialize`` the result when it feeds several outputs, or the scorer runs for each of them.
     """
-    df = spread(df)
+    df = spread(df, partitions)
     sent = strip_newlines(text) if prompt is None else prompt
     if budget:
         sent = F.when(F.col(budget), sent)
@@ -154,7 +156,7 @@ def score_in_batches(
     row = F.struct(F.col("row_idx").alias("_at"), *carried)
     grouped = df.groupBy("sheet", batch).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
     sent = F.transform("_rows", lambda r: strip_newlines(r[text]))
-    scored = grouped.withColumn("_replies", score_arrays(sent))
+    scored = grouped.withColumn("_replies", score_arrays.asNondeterministic()(sent))
     flat = scored.select(F.explode(F.arrays_zip("_rows", "_replies")).alias("_z"))
     return _attach(flat.select(*[F.col(f"_z._rows.{c}").alias(c) for c in carried], F.col("_z._replies").alias("_r")), "_r")
 

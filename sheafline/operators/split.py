@@ -57,7 +57,7 @@ def balanced_split(
     keys = keys.select(
         F.col(sheet).alias("_s"), F.col(label).alias("_l"), F.col("train").alias("_train"), F.col("test").alias("_test")
     )
-    marked = df.join(keys, (df[sheet] == F.col("_s")) & (df[label] == F.col("_l")), "left")
+    marked = df.join(keys, df[sheet].eqNullSafe(F.col("_s")) & (df[label] == F.col("_l")), "left")
     split = (
         F.when(_at_most("_train", row_id, seed), F.lit("train"))
         .when(_at_most("_test", row_id, seed), F.lit("test"))
@@ -82,7 +82,7 @@ def holdout_split(
     targets = narrow.groupBy(sheet).agg(held.alias("rank")).withColumn("cut", F.lit("held"))
     keys = materialize(pivot_cutoffs(rank_cutoffs(narrow, [sheet], row_id, targets, seed), [sheet], ["held"]))
     keys = keys.select(F.col(sheet).alias("_s"), F.col("held").alias("_held"))
-    marked = df.join(keys, df[sheet] == F.col("_s"), "left")
+    marked = df.join(keys, df[sheet].eqNullSafe(F.col("_s")), "left")
     split = F.when(_at_most("_held", row_id, seed), F.lit(names[1])).otherwise(F.lit(names[0]))
     return marked.withColumn("split", split).drop("_s", "_held")
 

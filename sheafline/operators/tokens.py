@@ -36,7 +36,8 @@ def tokenizer_udf(factory: Callable[[], Tokenizer]):
         for texts in parts:
             yield pd.Series(list(tokenizer(texts.tolist())), index=texts.index)
 
-    return tokenize
+    # evaluated once per row, even where a filter uses the result
+    return tokenize.asNondeterministic()
 
 
 def token_columns(ids: Column, limit: int = MAX_TOKENS) -> dict[str, Column]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.operators.budget import row_budget, sheet_table
+from sheafline.operators.budget import row_budget, sheet_quotas, sheet_table
 from sheafline.operators.metrics import confusion_counts, fill_missing_groups, report_with_total
 from sheafline.operators.scoring import Scorer, dry_run, score
 from sheafline.session import materialize
@@ -30,31 +30,64 @@ def evaluate_corpus(
     max_total: int | None = None,
     batch_size: int = 10,
     failed_sheets: DataFrame | None = None,
+    sheets: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> Evaluation:
     """Score a corpus (``sheet, sheet_ord, row_idx, text, label`` and any other columns).
 
     The scored rows are written once to the shared scratch folder, because they feed the output and
-    the metrics. ``failed_sheets`` (``sheet, sheet_ord``) use no budget and report zeros.
+    the metrics. ``sheets`` (``sheet, sheet_ord``) lists sheets that may have no rows: they report
+    zeros. So do ``failed_sheets`` and, where labels are text, sheets with a label among the rows to
+    process that is no number: they use no budget, their rows stay with null results.
     """
-    sheets = sheet_table(corpus)
-    if failed_sheets is not None:
-        failed = failed_sheets.select("sheet", "sheet_ord", F.lit(0).cast("long").alias("rows"), F.lit(True).alias("failed"))
-        sheets = sheets.withColumn("failed", F.lit(False)).unionByName(failed)
-    budgeted = row_budget(corpus, max_per_sheet, max_total, sheets)
-    scored = materialize(score(budgeted, factory, batch_size, budget="in_budget"))
-    return Evaluation(scored, evaluation_report(scored, failed_sheets))
-
-
-def evaluation_report(scored: DataFrame, failed_sheets: DataFrame | None = None) -> DataFrame:
+    known = _all_sheets(corpus, sheets, failed_sheets)
+    if corpus.schema["label"].dataType.typeName() == "string":
+        known = _with_label_failures(corpus, known, max_per_sheet, max_total)
+    budgeted = row_budget(corpus, max_per_sheet, max_total, known)
+    scored = materialize(score(budgeted, factory, batch_size, budget="in_budget", partitions=partitions))
+    reached = sheet_quotas(known, max_per_sheet, max_total).filter("reached")
+    return Evaluation(scored, evaluation_report(scored, reached))
+
+
+def _all_sheets(corpus: DataFrame, listed: DataFrame | None, failed: DataFrame | None) -> DataFrame:
+    """One row per sheet, ``sheet, sheet_ord, rows, failed``, whichever table names it."""
+    table = sheet_table(corpus).withColumn("failed", F.lit(False))
+    for more, flag in ((listed, False), (failed, True)):
+        if more is not None:
+            none = F.lit(0).cast("long").alias("rows")
+            table = table.unionByName(more.select("sheet", "sheet_ord", none, F.lit(flag).alias("failed")))
+    merged = table.groupBy("sheet", "sheet_ord").agg(F.sum("rows").alias("rows"), F.max("failed").alias("failed"))
+    return materialize(merged)
+
+
+def _with_label_failures(
+    corpus: DataFrame, sheets: DataFrame, max_per_sheet: int | None, max_total: int | None
+) -> DataFrame:
+    """Mark sheets whose processed labels hold text. A failure frees budget for later sheets, which
+    can only bring more rows, so failures are added until there is no new one."""
+    text = F.col("label").isNotNull() & F.col("label").try_cast("double").isNull()
+    while True:
+        rows = row_budget(corpus.select("sheet", "row_idx", "label"), max_per_sheet, max_total, sheets)
+        broken = rows.filter(F.col("in_budget") & text).select("sheet", F.lit(True).alias("_broken")).distinct()
+        marked = materialize(sheets.join(broken, "sheet", "left"))
+        if marked.filter("_broken and not failed").isEmpty():
+            return sheets
+        flag = F.col("failed") | F.coalesce(F.col("_broken"), F.lit(False))
+        sheets = marked.select("sheet", "sheet_ord", "rows", flag.alias("failed"))
+
+
+def evaluation_report(scored: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """Metrics per sheet and in total; sheets of ``sheets`` that have no counts report zeros."""
     labelled = "has_label" if "has_label" in scored.columns else None
+    if scored.schema["label"].dataType.typeName() == "string":
+        scored = scored.withColumn("label", F.col("label").try_cast("double"))
     counts = confusion_counts(scored, ["sheet"], order="sheet_ord", labelled=labelled)
-    if failed_sheets is not None:
-        groups = counts.select("sheet", "sheet_ord").unionByName(failed_sheets.select("sheet", "sheet_ord"))
-        counts = fill_missing_groups(counts, groups, "sheet")
+    if sheets is not None:
+        counts = fill_missing_groups(counts, sheets.select("sheet", "sheet_ord"), "sheet")
     return report_with_total(counts, "sheet", order="sheet_ord")
 
 
-def preview_prompts(corpus: DataFrame, system: str, max_per_sheet: int | None = 5, max_total: int | None = 50) -> DataFrame:
+def preview_prompts(corpus: DataFrame, system: str, max_per_sheet: int | None = None, max_total: int | None = None) -> DataFrame:
     """The prompts of a run with these limits, without running it."""
     return dry_run(row_budget(corpus, max_per_sheet, max_total), system)
 

@@ -29,7 +29,7 @@ from sheafline.operators import (
     validate,
 )
 from sheafline.plans import catalogue, evaluation, views
-from sheafline.session import scratch_dir, ship_package
+from sheafline.session import parallelism, scratch_dir, ship_package
 from sheafline.sources import corpus as corpus_source
 from sheafline.sources import sinks, workbook
 
@@ -739,13 +739,13 @@ def fragile_scorer() -> scoring.Scorer:
 
 @query
 def score_hook(spark, sf):
-    scored = scoring.score(views.documents(spark, sf), length_scorer)
+    scored = scoring.score(views.documents(spark, sf), length_scorer, partitions=parallelism(spark))
     return scored.select("doc_id", "ai_label", "ai_reply", "error")
 
 
 @query
 def score_errors(spark, sf):
-    scored = scoring.score(views.documents(spark, sf), fragile_scorer)
+    scored = scoring.score(views.documents(spark, sf), fragile_scorer, partitions=parallelism(spark))
     return scored.select("doc_id", "ai_label", "ai_reply", "error")
 
 
@@ -783,14 +783,14 @@ def count_encoder() -> embedding.Encoder:
 @query
 def embed_compound(spark, sf):
     docs = views.documents(spark, sf).withColumn("label", F.lit(1))
-    rows = embedding.compound_embedding(embedding.clean_corpus(docs), count_encoder)
+    rows = embedding.compound_embedding(embedding.clean_corpus(docs), count_encoder, partitions=parallelism(spark))
     return rows.select("doc_id", joined(F.transform("embedding", lambda x: x.cast("int"))).alias("embedding"))
 
 
 @query
 def embed_hashed(spark, sf):
     docs = views.documents(spark, sf).withColumn("label", F.lit(1))
-    rows = embedding.compound_embedding(embedding.clean_corpus(docs), dims=32)
+    rows = embedding.compound_embedding(embedding.clean_corpus(docs), dims=32, partitions=parallelism(spark))
     return rows.select("doc_id", "sheet", "embedding")
 
 

@@ -59,14 +59,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Enough partitions for a Python stage that is heavy per byte.
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``partitions`` tasks for a Python stage that is heavy per byte; None leaves the table as it is.
 
-    Partitions are cut by bytes, so a small table may be a single task. A table that already has a
-    partition per core is left alone: nothing large is shuffled for this.
+    Partitions are cut by bytes, so a small table may be a single task. The number is the caller's:
+    looking at the plan's partitions would run its shuffles.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if partitions is None else df.repartition(partitions)
+
+
+def parallelism(spark: SparkSession) -> int:
+    """Tasks that can run at once, as configured."""
+    return spark.sparkContext.defaultParallelism
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -82,10 +82,25 @@ def _sheet_rows(stream, shared: list[str]) -> Iterator[list[str | None]]:
         for cell in node.findall(f"{MAIN}c"):
             at = _column_index(cell.get("r", "")) if cell.get("r") else len(values)
             values += [None] * (at - len(values)) + [_cell_value(cell, shared)]
+        while values and values[-1] is None:  # formatted cells without content
+            values.pop()
         yield values
         node.clear()
 
 
+def _without_trailing_blanks(rows: Iterator[list[str | None]]) -> Iterator[list[str | None]]:
+    """Blank rows in the middle stay; those after the last cell with content go."""
+    waiting = 0
+    for values in rows:
+        if not values:
+            waiting += 1
+            continue
+        for _blank in range(waiting):
+            yield []
+        waiting = 0
+        yield values
+
+
 def _open_sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     rels = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
     targets = {r.get("Id"): r.get("Target") for r in rels}
@@ -127,13 +142,15 @@ def _decode_file(path: str, content: bytes) -> Iterator[tuple]:
         return
     for order, (name, member) in enumerate(sheets, start=1):
         try:
+            with book.open(member) as stream:  # a cell right of the header widens the sheet
+                width = max(map(len, _sheet_rows(stream, shared)), default=0)
             with book.open(member) as stream:
                 rows = _sheet_rows(stream, shared)
-                header = _column_names(next(rows, []))
+                first = next(rows, [])
+                header = _column_names(first + [None] * (width - len(first)))
                 yield path, name, order, None, header, None, None
-                for index, values in enumerate(rows):
-                    cells = (values + [None] * len(header))[: len(header)]
-                    yield path, name, order, index, header, cells, None
+                for index, values in enumerate(_without_trailing_blanks(rows)):
+                    yield path, name, order, index, header, values + [None] * (width - len(values)), None
         except Exception as exc:
             yield path, name, order, None, None, None, f"Error reading sheet {name}: {exc}"
 

@@ -1,12 +1,14 @@
 """Sources, sinks, ledger, tokens, embeddings and models."""
 
+import io
 import math
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheafline.operators import embedding, learning, ledger, metrics, regression, tokens
+from sheafline.operators import embedding, learning, ledger, metrics, regression, split, tokens
 from sheafline.plans import catalogue, evaluation
 from sheafline.sources import corpus, sinks, workbook
 from sheafline.session import scratch_dir
@@ -219,3 +221,41 @@ def test_reports_as_csv(spark, tmp_path):
     assert [line.split(",")[0] for line in lines[1:]] == ["a", "b", "TOTAL"]
     counts = metrics.label_counts(df.withColumn("label", F.col("y_true")), [])
     sinks.write_table_csv(counts, str(tmp_path / "t"), ["label"], sep=";")
+
+
+def sheet_bytes(rows):
+    """A workbook of one sheet from lists of inline texts; None is a formatted cell without content."""
+    main, rel = workbook.MAIN.strip("{}"), workbook.REL_ID[1:].split("}")[0]
+    packed = io.BytesIO()
+    cells = lambda r: "".join('<c s="1"/>' if v is None else f'<c t="inlineStr"><is><t>{v}</t></is></c>' for v in r)
+    with zipfile.ZipFile(packed, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="s" r:id="r1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+        body = "".join(f"<row>{cells(r)}</row>" for r in rows)
+        book.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
+    return packed.getvalue()
+
+
+def test_workbook_keeps_wide_cells_and_drops_trailing_blanks(spark, tmp_path):
+    rows = [["text", "label"], ["a", "1", "note"], [None, None], ["b", "0", None, None], [None], [None, None, None]]
+    (tmp_path / "w.xlsx").write_bytes(sheet_bytes(rows))
+    raw = workbook.ingest_workbooks(spark, str(tmp_path))
+    got = sorted(workbook.corpus_rows(raw).collect(), key=lambda r: r["row_idx"])
+    assert [(r["text"], r["label"]) for r in got] == [("a", "1"), (None, None), ("b", "0")]
+    assert got[0]["extra"] == {"Unnamed: 2": "note"}
+
+
+def test_wide_export_refuses_other_lengths(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), (None,)], "embedding array<float>")
+    assert embedding.to_wide(df, 2).count() == 2
+    for dims in (1, 3):
+        with pytest.raises(Exception, match="dimensions"):
+            embedding.to_wide(df, dims).collect()
+
+
+def test_unnamed_sheet_is_split_like_the_others(spark):
+    df = spark.createDataFrame([(i, None, i % 2) for i in range(50)], "id long, sheet string, label int")
+    held = split.holdout_split(df, "id").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in held} == {"train": 40, "validation": 10}
+    both = split.balanced_split(df, "id").groupBy("split", "label").count().collect()
+    assert {r["count"] for r in both if r["split"] != "dropped"} <= {12, 13}

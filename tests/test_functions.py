@@ -77,6 +77,8 @@ def test_round_exact_equals_python(spark):
         got = column(spark, values, numbers.round_exact(F.col("v"), digits), "v double")
         assert got == [round(v, digits) for v in values]
     assert column(spark, [None], numbers.round_exact(F.col("v"), 3), "v double") == [None]
+    large = [float("inf"), float("-inf"), 1e16, -1e300, 2.0**52 / 1000, 2.0**60 + 1]
+    assert column(spark, large, numbers.round_exact(F.col("v"), 3), "v double") == [round(v, 3) for v in large]
 
 
 def test_arrays(spark):

@@ -182,10 +182,40 @@ def test_evaluate_with_budget(spark):
     assert Counter(r["sheet"] for r in scored) == {"s0": 3, "s2": 4}
     assert all(r["ai_reply"] == f"{len(r['text'].strip(chr(10))) % 2} of {r['text'].strip(chr(10))}" for r in scored)
     assert {r["sheet"]: r["n"] for r in result.report.collect()} == {"s0": 3, "s2": 4, "TOTAL": 7}
+    listed = spark.createDataFrame([(f"s{o}", o) for o in range(4)], "sheet string, sheet_ord int")
+    full = evaluate_corpus(corpus(spark, [3, 0, 10, 4]), length_scorer, 5, 7, sheets=listed)
+    assert {r["sheet"]: r["n"] for r in full.report.collect()} == {"s0": 3, "s1": 0, "s2": 4, "TOTAL": 7}
     preview = preview_prompts(corpus(spark, [3, 0, 10, 4]), "sys", 5, 7).collect()
     assert len(preview) == 7 and {r["ai_reply"] for r in preview} == {"0 Test mode"}
 
 
+def test_failed_sheets_keep_their_rows_and_use_no_budget(spark):
+    df = corpus(spark, [3, 2, 4, 6])
+    failed = spark.createDataFrame([("s0", 0), ("gone", 9)], "sheet string, sheet_ord int")
+    result = evaluate_corpus(df, length_scorer, max_total=5, failed_sheets=failed)
+    rows = result.scored.collect()
+    assert Counter(r["sheet"] for r in rows) == {"s0": 3, "s1": 2, "s2": 4}
+    assert Counter(r["sheet"] for r in rows if r["ai_label"] is not None) == {"s1": 2, "s2": 3}
+    text = df.withColumn("label", F.when(F.expr("sheet = 's1' and row_idx = 1"), "abc").otherwise(F.col("label").cast("string")))
+    result = evaluate_corpus(text, length_scorer, max_per_sheet=3)
+    assert {r["sheet"]: r["n"] for r in result.report.collect()} == {"s0": 3, "s1": 0, "s2": 3, "s3": 3, "TOTAL": 9}
+    assert Counter(r["sheet"] for r in result.scored.collect()) == {"s0": 3, "s1": 2, "s2": 4, "s3": 6}
+    beyond = evaluate_corpus(text, length_scorer, max_per_sheet=1)  # the text label is not processed
+    assert {r["sheet"]: r["n"] for r in beyond.report.collect()} == {"s0": 1, "s1": 1, "s2": 1, "s3": 1, "TOTAL": 4}
+
+
+def python_nodes(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("EvalPython" in line for line in plan.split("\n"))
+
+
+def test_filters_do_not_score_twice(spark):
+    df = spark.createDataFrame([("a",), ("bad",)], "text string")
+    assert python_nodes(scoring.score(df, broken_scorer).filter("ai_label = 1 and error is null")) == 1
+    rows = spark.createDataFrame([("s", 0, "a")], "sheet string, row_idx long, text string")
+    assert python_nodes(scoring.score_in_batches(rows, broken_scorer).filter("ai_label = 1")) == 1
+
+
 def test_error_policies(spark):
     data = [("s", i, "bad" if i == 3 else "good") for i in range(12)]
     df = spark.createDataFrame(data, "sheet string, row_idx long, text string").coalesce(1)
