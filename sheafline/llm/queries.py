@@ -1,4 +1,4 @@
-"""The registered queries of this package."""
+"""The registered queries of this package; ``ORACLES`` has their SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sheafline.llm import arc_convert, chat_format, curriculum, jump_hash, lsh_forest, quality_rules, setsketch, style_tree, viterbi_scan, weak_labels
+from sheafline.llm.oracles import ORACLES
 from sheafline.llm.words import table
 
 SHARDS = 24
@@ -70,4 +71,5 @@ def op10_risk_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_arc_to_warc, op2_weak_labels, op3_setsketch_dedup, op4_prefix_forest, op5_viterbi_pieces, op6_style_tree, op7_jump_shards, op8_chat_template, op9_curriculum_mix, op10_risk_rules)}
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
