@@ -35,7 +35,7 @@ BLANK = "▁"
 ESCAPE, MARKED = "\ue000", "\ue001"
 SCALE = 1 << 20
 LOWEST = -(1 << 60)
-CACHE = 1 << 19
+CACHE = 1 << 16
 
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _ESCAPED = re.compile(f"{ESCAPE}([{ESCAPE}{MARKED}])")
