@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions.numbers import harmonic, safe_div
 from sheafline.operators.totals import TOTAL
+from sheafline.session import materialize
 
 # The report header, in this order.
 REPORT_COLUMNS = [
@@ -123,11 +124,12 @@ def prediction_histogram(df: DataFrame, y: str = "y_true", p: str = "y_pred", bi
     rows = df.select(F.col(y).alias("label"), F.col(p).cast("double").alias("p"))
     low_high = rows.groupBy("label").agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"))
     flat = F.col("_lo") == F.col("_hi")
-    ranges = low_high.select(
+    # written first, so that the rows meet it as the small table it is and are not shuffled by label
+    ranges = materialize(low_high.select(
         "label",
         F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("lo"),
         F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("hi"),
-    )
+    ))
     position = F.floor((F.col("p") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))
     counted = (
         rows.join(ranges, "label")

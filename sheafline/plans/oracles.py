@@ -364,7 +364,7 @@ def oracle_sql() -> dict[str, str]:
         "score_batch_errors": f"WITH {DOCS}, {NUMBERED.format('docs')}, c AS (SELECT doc_id, length(trim(text, chr(10))) AS k, bool_or(length(trim(text, chr(10))) % 7 = 0) OVER (PARTITION BY sheet, row_idx // 10) AS bad FROM numbered) SELECT doc_id, CASE WHEN bad THEN 0 ELSE 1 END AS ai_label, CASE WHEN bad THEN '0 Error' ELSE '1 of ' || k END AS ai_reply, CASE WHEN bad THEN 'RuntimeError: unavailable' END AS error FROM c",
         "evaluate_end_to_end": _end_to_end(),
         "embed_compound": f"WITH {DOCS}, c AS (SELECT doc_id, replace(replace(text, '<', ''), '>', '') AS s, nullif(regexp_extract(text, '<(.+?)>', 1), '') AS b FROM docs) SELECT doc_id, concat_ws(',', length(s), length(s) - length(replace(s, ' ', '')), length(s) - length(replace(s, 'e', '')), length(b), length(b) - length(replace(b, ' ', '')), length(b) - length(replace(b, 'e', ''))) AS embedding FROM c WHERE b IS NOT NULL",
-        "wide_embeddings": "SELECT vec_id, label, CAST(len(embedding) AS INT) AS dims, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS emb_{i}" for i in range(8)) + " FROM embeddings",
+        "wide_embeddings": "SELECT vec_id, label, CAST(len(embedding) AS INT) AS dims, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS emb_{i}" for i in range(64)) + " FROM embeddings",
         "split_sink": f"SELECT split, sheet, count(*) AS rows FROM ({balanced('sheet')}) WHERE split <> 'dropped' GROUP BY 1, 2",
         "report_sink": f"WITH {REGR}, t AS ({REPORT_TOTAL}) SELECT sheet, n_samples, n_label_0, n_label_1 FROM t",
         "embedding_sink": "SELECT label, count(*) AS rows, CAST(64 AS INT) AS dims FROM embeddings GROUP BY 1",

@@ -384,7 +384,7 @@ def _sheet_order(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_source.sheet_order(docs)
 
 
-def _label_rows(spark: SparkSession, sf: str) -> DataFrame:
+def _label_rows(spark: SparkSession, sf: str, row_idx: bool = True) -> DataFrame:
     """Labels with every kind of bad value."""
     raw = F.col("label").cast("double")
     broken = (
@@ -393,7 +393,7 @@ def _label_rows(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("doc_id") % 37 == 0, F.lit(0.5))
         .otherwise(raw)
     )
-    rows = views.keys(spark, sf, row_idx=True).withColumn("label", broken)
+    rows = views.keys(spark, sf, row_idx=row_idx).withColumn("label", broken)
     return rows.join(_sheet_order(spark, sf), "sheet")
 
 
@@ -428,14 +428,14 @@ def validate_numbered(spark, sf):
 @query
 def validation_summary(spark, sf):
     texts = views.documents(spark, sf).select("doc_id", "text")
-    rows = _label_rows(spark, sf).join(texts, "doc_id")
+    rows = _label_rows(spark, sf, row_idx=False).join(texts, "doc_id")
     return validate.summarize(rows).drop("readable", "sheet_errors")
 
 
 @query
 def validation_overall(spark, sf):
     texts = views.documents(spark, sf).select("doc_id", "text")
-    rows = _label_rows(spark, sf).join(texts, "doc_id")
+    rows = _label_rows(spark, sf, row_idx=False).join(texts, "doc_id")
     return validate.overall(validate.summarize(rows))
 
 
@@ -796,11 +796,11 @@ def embed_hashed(spark, sf):
 
 @query
 def wide_embeddings(spark, sf):
-    """Wide export and the fold back; shows eight dimensions and the width."""
+    """Wide export and the fold back: all dimensions and the width."""
     e = views.table(spark, sf, "embeddings")
     wide = embedding.to_wide(e, 64, metadata=["vec_id", "label"])
     back = embedding.from_wide(wide)
-    shown = [F.round(F.col(f"w.emb_{i}").cast("double"), 6).alias(f"emb_{i}") for i in range(8)]
+    shown = [F.round(F.col(f"w.emb_{i}").cast("double"), 6).alias(f"emb_{i}") for i in range(64)]
     both = back.alias("b").join(wide.alias("w"), "vec_id")
     return both.select("vec_id", F.col("b.label").alias("label"), F.size("b.embedding").alias("dims"), *shown)
 
