@@ -16,8 +16,7 @@ from sheafline.session import materialize
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base conditions and the certified cutoffs keep."""
-    judged = quality_rules.judged(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("_q_kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

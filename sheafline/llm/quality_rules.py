@@ -282,3 +282,20 @@ def judged(
         cut = F.when(F.col("_has"), F.col(f"_own_{r}")).otherwise(F.col(f"_all_{r}"))
         above = above | F.coalesce(F.col(prefix + r) > cut, F.lit(False))
     return joined.select(*ruled.columns, (~(F.col(f"{prefix}base_failed") | above)).alias(f"{prefix}kept"))
+
+
+def kept_documents(df: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, all columns, that :func:`judged` keeps.
+
+    The judgement depends on the row's text and stratum, so rows are matched by their id and a hash
+    of id, text and stratum; what is written and compared are the rejected rows' keys, not texts.
+    The column name ``_row_key`` is taken by the match.
+    """
+    if "_row_key" in df.columns:
+        raise ValueError("the column name _row_key is taken by the match")
+    keyed = df.withColumn("_row_key", F.xxhash64("doc_id", text, stratum))
+    narrow = keyed.select("doc_id", stratum, text, "_row_key")
+    out = judged(narrow, labels, stratum, text, carry=("doc_id", stratum, "_row_key"), **options)
+    rejected = materialize(out.filter("not _q_kept").select(F.col("doc_id").alias("_id"), F.col("_row_key").alias("_key")).distinct())
+    same = (F.col("_row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return keyed.join(rejected, same, "left_anti").drop("_row_key")
