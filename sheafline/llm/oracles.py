@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sheafline.llm.quality_rules import GRIDS, LEVEL, MIN_GOOD, RISK
+
 WORDS = r"[^\x20\x09-\x0D]+"
 
 OP1 = """
@@ -119,10 +121,80 @@ SELECT c.doc_id, c.source, c.size, p.source_size, p.target,
 FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source
 """
 
+_CELLS = ", ".join(f"('{r}', {k}, {cut}::DOUBLE)" for r, grid in GRIDS.items() for k, cut in enumerate(grid))
+_P = f"({RISK}::DOUBLE / {len(GRIDS)})"
+
+OP10 = rf"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS words,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS dense,
+    [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '{WORDS}')] AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS three
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1
+), repeats AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(3) t(k) GROUP BY doc_id
+), b AS (
+  SELECT d.doc_id, lang, len(words)::BIGINT AS n_words, length(dense)::BIGINT AS word_chars,
+    (length(dense) - length(regexp_replace(dense, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (length(dense) - length(regexp_replace(dense, '[!?]', '', 'g')))::BIGINT AS n_shouts,
+    length(regexp_replace(dense, '\P{{Lu}}', '', 'g'))::BIGINT AS n_capitals,
+    len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN repeats USING (doc_id)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+), long AS (
+  UNPIVOT (SELECT doc_id, lang, base_failed,
+    n_symbols / greatest(n_words, 1)::DOUBLE AS symbols_per_word,
+    n_shouts / greatest(n_words, 1)::DOUBLE AS shouts_per_word,
+    n_capitals / greatest(word_chars, 1)::DOUBLE AS capitals_per_letter,
+    n_repeat_words / greatest(n_words, 1)::DOUBLE AS repeats_per_word,
+    n_dup_lines / greatest(n_lines, 1)::DOUBLE AS duplicate_lines FROM f)
+  ON symbols_per_word, shouts_per_word, capitals_per_letter, repeats_per_word, duplicate_lines
+  INTO NAME rule VALUE number
+), good AS (
+  SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1
+), held AS (
+  SELECT false AS pooled, lang AS stratum, rule, number FROM long JOIN good USING (doc_id) WHERE NOT base_failed
+  UNION ALL
+  SELECT true, NULL, rule, number FROM long JOIN good USING (doc_id) WHERE NOT base_failed
+), cells(rule, step, cut) AS (
+  VALUES {_CELLS}
+), tests AS (
+  SELECT pooled, stratum, rule, step, cut, count(*) AS n, count(*) FILTER (number > cut) AS lost
+  FROM held JOIN cells USING (rule) GROUP BY ALL
+), tails AS (
+  SELECT *, CASE WHEN lost >= n * {_P} THEN 1 ELSE list_sum([
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P}) + (n - i) * ln(1 - {_P}))
+    for i in range(0, lost + 1)]) END AS tail FROM tests
+), failing AS (
+  SELECT *, tail > {LEVEL}::DOUBLE / ((SELECT count(*) FROM (SELECT DISTINCT pooled, stratum FROM tests)) * {len(GRIDS)})
+    AS fails FROM tails
+), firsts AS (
+  SELECT *, min(step) FILTER (fails) OVER (PARTITION BY pooled, stratum, rule) AS first FROM failing
+), cuts AS (
+  SELECT pooled, stratum, rule, n, min(cut) FILTER (first IS NULL OR step < first) AS cut FROM firsts
+  GROUP BY pooled, stratum, rule, n HAVING pooled OR n >= {MIN_GOOD}
+), above AS (
+  SELECT DISTINCT doc_id FROM long
+  LEFT JOIN cuts o ON NOT o.pooled AND o.stratum IS NOT DISTINCT FROM long.lang AND o.rule = long.rule
+  LEFT JOIN cuts p ON p.pooled AND p.rule = long.rule
+  WHERE number > CASE WHEN o.rule IS NOT NULL THEN o.cut ELSE p.cut END
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM above WHERE doc_id IS NOT NULL) AS kept
+FROM f
+"""
+
 ORACLES = {
     "op1_arc_to_warc": OP1,
     "op3_setsketch_dedup": OP3,
     "op7_jump_shards": OP7,
     "op8_chat_template": OP8,
     "op9_curriculum_mix": OP9,
+    "op10_risk_rules": OP10,
 }
