@@ -7,9 +7,9 @@ agree in a register with about the probability of their similarity.
 1. One pass over the texts makes (id, size, digest of the set, registers); no text leaves it.
 2. Documents with equal sets are one representative, found by a grouped minimum.
 3. Registers are banded. A representative's home is one of its populous buckets, chosen so that
-   similar documents share few homes, and cut into blocks of about BLOCK documents; two blocks that
-   meet in any bucket are a block pair. Block pairs instead of document pairs are shuffled: a group
-   of n near copies makes about (n / BLOCK)**2 of them.
+   similar documents share few homes, and cut into blocks of about BLOCK documents. Two blocks that
+   meet in any bucket are a block pair, which gets the documents that share a bucket with the other
+   block. So a group of n near copies makes n * n / BLOCK rows, not n * n pairs.
 4. A block pair estimates the similarity of all its document pairs by maximum likelihood from the
    register comparison. Only documents with an estimate that may reach the limit go on.
 5. Their full sets are made again from the texts. A block pair verifies its likely pairs on them and
@@ -38,7 +38,7 @@ SHINGLE, LIMIT = 5, 75  # words; percent
 BASE, RATE = 1.02, 20.0
 BAND, BANDS = 5, 48
 REGISTERS = BAND * BANDS
-BLOCK = 128
+BLOCK = 512
 #: Estimates below this are not verified.
 LEAST_ESTIMATE = 0.60
 
@@ -261,16 +261,26 @@ def components(links: DataFrame) -> DataFrame:
 def _homes(bucketed: DataFrame) -> DataFrame:
     """doc_id, block from the buckets (doc_id, key, members) that hold two documents or more.
 
-    Everyone starts in their most populous bucket and moves twice to the one of their buckets in
-    which most live, so that a group of similar documents ends in few homes.
+    Everyone starts in their most populous bucket and moves to the one of their buckets in which
+    most live. Then they join the largest home that they meet in two buckets or more: similar
+    documents share many buckets, so a group of them ends in one home, while a single shared bucket,
+    as chance makes it, moves nobody.
     """
     rank = lambda *c: F.max(F.struct(*c, "members", "key")).alias("h")
     homes = bucketed.groupBy("doc_id").agg(rank()).select("doc_id", "h.*")
-    for _ in range(3):
+    for _ in range(2):
         living = materialize(homes.groupBy("key").agg(F.count("*").alias("living")))
         homes = bucketed.join(living, "key").groupBy("doc_id").agg(rank("living")).select("doc_id", "h.*")
-    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("now") / F.lit(BLOCK)))
     homes = materialize(homes.select("doc_id", "key"))
+    for _ in range(2):
+        living = homes.groupBy("key").agg(F.count("*").alias("now"))
+        own = materialize(homes.join(living, "key").select("doc_id", F.struct("now", "key").alias("home")))
+        largest = bucketed.join(own, "doc_id").groupBy("key").agg(F.max("home").alias("met"))
+        met = bucketed.join(materialize(largest), "key").groupBy("doc_id", "met").agg(F.count("*").alias("times"))
+        best = met.filter("times > 1").groupBy("doc_id").agg(F.max("met").alias("best"))
+        moved = F.greatest("home", F.coalesce("best", "home"))
+        homes = materialize(own.join(best, "doc_id", "left").select("doc_id", moved["key"].alias("key")))
+    chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("now") / F.lit(BLOCK)))
     last = homes.groupBy("key").agg(F.count("*").alias("now"))
     return materialize(homes.join(last, "key").select("doc_id", F.xxhash64("key", chunk).alias("block")))
 
@@ -304,30 +314,32 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     full = banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     bucketed = materialize(banded.join(materialize(full), "key"))
     homes = _homes(bucketed)
-    met = materialize(bucketed.join(homes, "doc_id").select("key", "block").distinct())
-    pairs = materialize(
-        met.withColumnRenamed("block", "block_a")
-        .join(met.withColumnRenamed("block", "block_b"), "key")
-        .filter("block_a <= block_b")
-        .select("block_a", "block_b")
+    placed = materialize(bucketed.join(homes, "doc_id").select("doc_id", "key", "block"))
+    met = placed.select("key", F.col("block").alias("other")).distinct()
+    # of a block, another one gets the documents that share a bucket with it
+    across = (
+        placed.join(met, "key")
+        .filter("block <> other")
+        .select("doc_id", "block", "other")
         .distinct()
-    )
-    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("block"))
-    both = F.when(F.col("block_a") == F.col("block_b"), F.array(side(0, "block_a"))).otherwise(
-        F.array(side(0, "block_a"), side(1, "block_b"))
+        .select(
+            F.least("block", "other").alias("block_a"),
+            F.greatest("block", "other").alias("block_b"),
+            (F.col("block") > F.col("other")).cast("int").alias("side"),
+            "doc_id",
+        )
     )
     # a block of one document has nothing to compare within itself
     crowds = homes.groupBy("block").agg(F.count("*").alias("docs")).filter("docs > 1").select("block")
-    worth = pairs.filter("block_a <> block_b").unionByName(
-        pairs.filter("block_a = block_b").join(crowds, F.col("block_a") == F.col("block"), "left_semi")
+    within = homes.join(crowds, "block", "left_semi").select(
+        F.col("block").alias("block_a"), F.col("block").alias("block_b"), F.lit(0).alias("side"), "doc_id"
     )
+    sides = materialize(across.unionByName(within))
     sketches = materialize(
-        reps.select(F.col("rep").alias("doc_id"), "registers", "n", "digest").join(homes, "doc_id")
+        reps.select(F.col("rep").alias("doc_id"), "registers", "n", "digest").join(homes, "doc_id", "left_semi")
     )
     promising = materialize(
-        worth.select("block_a", "block_b", F.explode(both).alias("s"))
-        .select("block_a", "block_b", "s.*")
-        .join(sketches.drop("digest"), "block")
+        sides.join(sketches.drop("digest"), "doc_id")
         .select("block_a", "block_b", "side", "doc_id", "registers", "n")
         .groupBy("block_a", "block_b")
         .applyInArrow(_promising, "block_a long, block_b long, side int, doc_id long")
