@@ -246,16 +246,15 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 host = host_of(url.as_py())
                 nodes, blocks = parse(page.as_py())
                 gone = removed(nodes)
-                texts = [(b, b.text(gone)) for b in blocks if b.owner not in gone]
-                digest = _hash("\n".join(t for _, t in texts))
+                digest = _hash("\n".join(b.text(gone) for b in blocks if b.owner not in gone))
                 rows: dict[tuple, list[int] | None] = {}
-                for k, node in enumerate(nodes):
-                    if k not in gone and node.tag in GENERIC:
+                for node in nodes:
+                    if node.tag in BLOCKS:
                         rows["style", node.key, _hash(*dict.fromkeys(node.children))] = None
-                for block, t in texts:
-                    chain, k = [], block.owner
+                for block in blocks:
+                    t, chain, k = block.text(), [], block.owner
                     while k > 0:
-                        if nodes[k].tag in GENERIC:
+                        if nodes[k].tag in BLOCKS:
                             chain.append(nodes[k].key)
                         k = nodes[k].parent
                     if t and chain:
@@ -281,9 +280,9 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """host, key, pages, importance of the generic nodes of every host's style tree.
+    """host, key, pages, importance of the block elements of every host's style tree.
 
-    A leaf's contents count for all generic nodes above it. Counts are of distinct page texts and
+    A leaf's contents count for all block elements above it. Counts are of distinct page texts and
     grouped by (host, node, value), so a host that holds most pages is spread over all tasks.
     """
     ship_package(pages.sparkSession)
