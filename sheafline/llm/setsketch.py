@@ -78,7 +78,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     drawn = 0
     while len(h):
         # late rounds hold few elements, so they draw many points of each at once
-        width = 1 if drawn < 4 else 32
+        width = 1 if drawn < 4 else max(1, min(32, 200_000 // len(h)))
         number = np.arange(drawn + 1, drawn + width + 1, dtype=np.uint64) * _U(0xD1B54A32D192ED03)
         z = mix64(h[:, None] + number)
         gap = -np.log(((z >> _U(11)).astype(np.float64) + 1.0) * 2.0**-53) / REGISTERS
@@ -128,7 +128,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = 0
         while start < len(ids):
             sets, size, stop = [], 0, start
-            while stop < len(ids) and size < 200_000:  # memory of the sketch follows the shingles
+            while stop < len(ids) and size < 100_000:  # memory of the sketch follows the shingles
                 sets.append(shingle_set(texts[stop].as_py()))
                 size += len(sets[-1])
                 stop += 1
