@@ -315,13 +315,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     bucketed = materialize(banded.join(materialize(full), "key"))
     homes = _homes(bucketed)
     placed = materialize(bucketed.join(homes, "doc_id").select("doc_id", "key", "block"))
-    met = placed.select("key", F.col("block").alias("other")).distinct()
+    met = placed.groupBy("key").agg(F.collect_set("block").alias("blocks")).filter(F.size("blocks") > 1)
     # of a block, another one gets the documents that share a bucket with it
     across = (
         placed.join(met, "key")
+        .groupBy("doc_id", "block")
+        .agg(F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("others"))
+        .select("doc_id", "block", F.explode("others").alias("other"))
         .filter("block <> other")
-        .select("doc_id", "block", "other")
-        .distinct()
         .select(
             F.least("block", "other").alias("block_a"),
             F.greatest("block", "other").alias("block_b"),
