@@ -4,7 +4,9 @@ The DOMs of a host's pages are merged by tag path and class. A node's importance
 entropies with the number of pages that have the node as the base of the logarithm: how much its
 presentation (the sequence of its children) varies between pages, and how little its contents are
 spread over pages: a content that stands on one page has entropy 0, one that stands on all has 1.
-Generic branches of low importance are removed from every page, unless they hold most of it.
+Generic branches of low importance are removed from every page, unless they hold most of it. The same
+entropy is taken of every single content, by its node and text: a block of any element, paragraphs and
+headings of the article included, that stands on nearly all distinct pages with its node is removed.
 
 Some branches say themselves what they are: navigation, footers, forms, adverts, comments and the
 like are recognised by tag, role or class name and count as presentation of no importance, which is
@@ -55,7 +57,8 @@ MARKS = frozenset(
     "social share sharing related recommended recommendations comment comments disqus reply replies respond widget "
     "widgets copyright disclaimer search form".split()
 )
-#: Only these are removed for their importance: text elements are content in any template.
+#: Only these are removed as a branch for their importance: the branch of a text element has the unique
+#: contents of its neighbours with the same path. Its repeated contents are removed one by one.
 GENERIC = frozenset("div section span ul ol dl table header figure details center".split())
 
 LEAST_IMPORTANCE, LEAST_PAGES, CONTENT_PART = 0.2, 8, 0.9
@@ -226,14 +229,33 @@ def removed(nodes: list[Node], low: frozenset[int] = frozenset()) -> set[int]:
     return gone
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, one per line; the blocks of <article> or <main> if they have text."""
+def content_key(nodes: list[Node], block: Block) -> int:
+    """A block's content in the style tree: its text under its node's path."""
+    return _hash(nodes[block.owner].key, block.text())
+
+
+def main_text(
+    page: str | None,
+    low: frozenset[int] = frozenset(),
+    repeated: frozenset[int] = frozenset(),
+    few: bool = False,
+) -> str:
+    """The article's blocks, one per line; the blocks of <article> or <main> if they have text.
+
+    Blocks whose :func:`content_key` is in ``repeated`` are left out, unless nothing else is left or,
+    on a host of ``few`` pages, they are most of the text: the page is then a near copy of another.
+    """
     nodes, blocks = parse(page)
     gone = removed(nodes, low)
-    kept = [(nodes[b.owner].main, t) for b in blocks if b.owner not in gone and (t := b.text(gone))]
-    if any(main for main, _ in kept):
+    kept = [(nodes[b.owner].main, t, b) for b in blocks if b.owner not in gone and (t := b.text(gone))]
+    if any(main for main, _, _ in kept):
         kept = [x for x in kept if x[0]]
-    return "\n".join(t for _, t in kept)
+    if repeated:
+        own = [x for x in kept if content_key(nodes, x[2]) not in repeated]
+        chars = sum(len(t) for _, t, _ in own)
+        if chars and not (few and 2 * chars < sum(len(t) for _, t, _ in kept)):
+            kept = own
+    return "\n".join(t for _, t, _ in kept)
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,14 +273,16 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for node in nodes:
                     if node.tag in BLOCKS:
                         rows["style", node.key, _hash(*dict.fromkeys(node.children))] = None
+                rows["node", 0, 0] = None  # counts the host's pages
                 for block in blocks:
                     t, chain, k = block.text(), [], block.owner
                     while k > 0:
                         if nodes[k].tag in BLOCKS:
                             chain.append(nodes[k].key)
                         k = nodes[k].parent
-                    if t and chain:
-                        rows["text", nodes[block.owner].key, _hash(t)] = chain
+                    if t:
+                        rows["node", nodes[block.owner].key, 0] = None
+                        rows["text", nodes[block.owner].key, content_key(nodes, block)] = chain
                 for (kind, key, value), chain in rows.items():
                     hosts.append(host)
                     kinds.append(kind)
@@ -279,22 +303,29 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """host, key, pages, importance of the block elements of every host's style tree.
+def counted_facts(pages: DataFrame) -> DataFrame:
+    """host, kind, key, value, n, above: on how many distinct page texts of the host a node has a
+    presentation, a content, or (kind node) any content; written.
 
-    A leaf's contents count for all block elements above it. Counts are of distinct page texts and
-    grouped by (host, node, value), so a host that holds most pages is spread over all tasks.
+    Grouped by (host, node, value), so a host that holds most pages is spread over all tasks.
     """
     ship_package(pages.sparkSession)
     facts = pages.select("url", "html").mapInArrow(
         _facts, "host string, kind string, key long, value long, page long, above array<long>"
     )
-    counted = materialize(
+    return materialize(
         facts.groupBy("host", "kind", "key", "value", "page")
         .agg(F.first("above").alias("above"))
         .groupBy("host", "kind", "key", "value")
         .agg(F.count("*").alias("n"), F.first("above").alias("above"))
     )
+
+
+def importance(counted: DataFrame) -> DataFrame:
+    """host, key, pages, importance of the block elements of every host's style tree.
+
+    A leaf's contents count for all block elements above it.
+    """
     log_n = F.log(F.col("n").cast("double"))
     styles = counted.filter("kind = 'style'").groupBy("host", "key").agg(
         F.sum("n").alias("pages"), F.sum(F.col("n") * log_n).alias("n_log_n")
@@ -320,11 +351,36 @@ def importance(pages: DataFrame) -> DataFrame:
     )
 
 
+def repeated_contents(counted: DataFrame) -> DataFrame:
+    """host, content, host_pages of the contents of low importance.
+
+    A content on n of the m distinct pages that have its node has importance 1 - log n / log m. It is
+    low on two pages of two, six of eight, 40 of 100. At least the square root of the host's pages
+    must have it, so a node of few pages of a large host is no template.
+    """
+    pages = materialize(counted.filter("kind = 'node'").select("host", "key", F.col("n").alias("pages")))
+    whole = materialize(pages.filter("key = 0").select("host", F.col("pages").alias("host_pages")))
+    low = 1 - F.log(F.col("n").cast("double")) / F.log(F.col("pages").cast("double")) < LEAST_IMPORTANCE
+    return (
+        counted.filter("kind = 'text' and n > 1")
+        .join(pages, ["host", "key"])
+        .filter(low)
+        .join(whole, "host")
+        .filter(F.col("n") >= F.sqrt("host_pages"))
+        .select("host", F.col("value").alias("content"), "host_pages")
+    )
+
+
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
-            texts = [main_text(h.as_py(), frozenset(k.as_py() or ())) for h, k in zip(part.column(2), part.column(3))]
+            sets: dict[str | None, tuple[frozenset[int], frozenset[int]]] = {}  # a host's lists are read once
+            texts = []
+            for host, page, low, repeated, few in zip(*(part.column(c) for c in range(2, 7))):
+                if (name := host.as_py()) not in sets:
+                    sets[name] = frozenset(low.as_py() or ()), frozenset(repeated.as_py() or ())
+                texts.append(main_text(page.as_py(), *sets[name], bool(few.as_py())))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
@@ -335,16 +391,21 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per row of ``pages`` (page_id, url, html).
 
     Null html is empty and has an empty text; pages without a host in the url are one host. Other
-    columns are not read, an empty table gives an empty result. The nodes to remove are one short
-    list per host, joined by its written size.
+    columns are not read, an empty table gives an empty result. The nodes and the contents to remove
+    are one short list each per host, joined by their written size.
     """
+    counted = counted_facts(pages)
     low = (
-        importance(pages)
+        importance(counted)
         .filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
         .groupBy("host")
         .agg(F.sort_array(F.collect_list("key")).alias("low"))
     )
-    low = materialize(low)
+    repeated = repeated_contents(counted).groupBy("host").agg(
+        F.sort_array(F.collect_list("content")).alias("repeated"),
+        (F.max("host_pages") < LEAST_PAGES).alias("few"),
+    )
+    lists = materialize(low.join(repeated, "host", "full"))
 
     @F.pandas_udf("string")
     def host(urls):
@@ -353,7 +414,7 @@ def extract(pages: DataFrame) -> DataFrame:
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     return (
         plain.withColumn("host", host("url"))
-        .join(low, "host", "left")
-        .select("page_id", "url", "html", "low")
+        .join(lists, "host", "left")
+        .select("page_id", "url", "host", "html", "low", "repeated", "few")
         .mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
     )

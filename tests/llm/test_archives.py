@@ -106,6 +106,30 @@ def test_repeated_branches_of_a_host_are_found(spark):
     assert style_tree.extract(df.limit(0)).count() == 0
 
 
+def test_repeated_blocks_of_any_tag_are_found(spark):
+    r = random.Random(1)
+    text = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for i, host in enumerate(["big.example"] * 30 + ["two.example"] * 2 + ["one.example"]):
+        head, *paragraphs = [text(4), *(text(12) for _ in range(3))]
+        again = "" if i in (3, 4) else "<p>All rights belong to us</p>"
+        marked = [paragraphs[0], f"<b>{paragraphs[1]}</b>", f"<i>{paragraphs[2]}</i>"]  # three presentations of a node
+        rows.append((i, f"http://{host}/{i}", f"<body><article><h1>{head}</h1>{again}{''.join(f'<p>{p}</p>' for p in marked)}</article>"))
+        want[i] = "\n".join([head, *(["All rights belong to us"] if host == "one.example" else []), *paragraphs])
+    # two versions of a text on a small host, and a quotation on 3 of 30 pages, are no template
+    shared = [text(20) for _ in range(4)]
+    for i in (40, 41):
+        body = [*shared, text(10)]
+        rows.append((i, f"http://copy.example/{i}", "<article>" + "".join(f"<p>{p}</p>" for p in body)))
+        want[i] = "\n".join(body)
+    quote = text(9)
+    for i in (7, 8, 9):
+        rows[i] = (*rows[i][:2], rows[i][2].replace("</article>", f"<blockquote>{quote}</blockquote></article>"))
+        want[i] += "\n" + quote
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in style_tree.extract(df).collect()} == want
+
+
 def test_forest_recall_and_order(spark):
     r = np.random.default_rng(0)
     x = r.standard_normal((700, 16)).astype(np.float32)
