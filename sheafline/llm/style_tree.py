@@ -10,7 +10,8 @@ headings of the article included, that stands on nearly all distinct pages with
 
 Some branches say themselves what they are: navigation, footers, forms, adverts, comments and the
 like are recognised by tag, role or class name and count as presentation of no importance, which is
-all there is to go by on hosts with few pages. Pages with equal text count once in the tree, so
+all there is to go by on hosts with few pages. A branch that is only named so by a class, an id, <form>
+or <header> stays if it holds most of the page, which is then judged by what is marked inside it. Pages with equal text count once in the tree, so
 copies of an article do not make it look like a template.
 """
 
@@ -49,6 +50,10 @@ SCOPES = frozenset("table td th ul ol dl article section div aside nav main body
 DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split()
 )
+#: Text in these is not prose; a form with mostly such text or one field in so many characters is a form.
+CONTROLS = frozenset("a button label legend option select".split())
+FIELDS = frozenset("input select textarea button".split())
+FIELD_CHARS = 40
 #: Words of class names and ids that mark what is not the article.
 MARKS = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar pagination pager "
@@ -68,7 +73,7 @@ _TOKEN = re.compile(
 )
 _CUT_TAG = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([^\s<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -82,9 +87,13 @@ class Node:
     parent: int
     key: int
     dropped: bool = False
+    named: bool = False  # dropped by a name, <form> or <header> alone
+    marked: bool = False  # has a word of MARKS
     main: bool = False
     children: list[str] = field(default_factory=list)
     chars: int = 0
+    control_chars: int = 0
+    fields: int = 0
 
 
 @dataclass(slots=True)
@@ -178,19 +187,25 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
         node = Node(tag, sign, stack[-1], _hash(parent.key, sign))
         parent.children.append(sign)
         words = {w.lower() for w in _MARK_WORD.findall(f"{values.get('class', '')} {values.get('id', '')}")}
+        node.marked = tag not in ("html", "body", "main") and not words.isdisjoint(MARKS)
         role = values.get("role", "").lower()
         node.main = tag in ("article", "main") or role == "main" or parent.main
         node.dropped = (
-            tag in DROPPED
+            (tag in DROPPED and tag != "form")
             or role in DROPPED_ROLES
             or values.get("aria-hidden", "").lower() == "true"
             or bool(_HIDDEN.search(values.get("style", "")))
-            or re.search(r"\shidden(?=[\s=>/])", token) is not None
-            or (tag not in ("html", "body", "main") and not words.isdisjoint(MARKS))
-            or ((tag == "header" or "header" in words) and not parent.main)
+            or "hidden" in values
         )
+        if not node.dropped:
+            node.dropped = node.named = (
+                tag == "form"
+                or node.marked
+                or ((tag == "header" or "header" in words) and not parent.main)
+            )
         if node.dropped and (tag == "article" or role == "main"):
             node.main = parent.main
+        node.fields = int(tag in FIELDS and values.get("type", "").lower() != "hidden")
         nodes.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
@@ -201,28 +216,50 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
     flush()
     for block in blocks:
         for element, piece in block.pieces:
-            n = len(piece)
+            n, control = len(piece), False
             while element >= 0:
-                nodes[element].chars += n
-                element = nodes[element].parent
+                node = nodes[element]
+                control |= node.tag in CONTROLS
+                node.chars += n
+                if control:
+                    node.control_chars += n
+                element = node.parent
+    # fields count for the form around them
+    forms: list[int] = []
+    for k, node in enumerate(nodes):
+        inner = node.parent if node.parent < 0 else forms[node.parent]
+        forms.append(k if node.tag == "form" else inner)
+        if node.fields and inner >= 0 and inner != k:
+            nodes[inner].fields += node.fields
+    for node in nodes:
+        if node.tag == "form" and node.named and not node.marked:
+            prose = node.chars - node.control_chars
+            node.dropped = node.named = (
+                4 * node.chars <= nodes[0].chars or 2 * prose <= node.chars or prose < FIELD_CHARS * node.fields
+            )
     return nodes, blocks
 
 
 def removed(nodes: list[Node], low: frozenset[int] = frozenset()) -> set[int]:
     """Elements whose branch is not part of the article; ``low`` are keys of low importance.
 
-    A marked branch that holds most of the page's text and its article stays.
+    A marked branch that holds most of the page's text and its article stays. One that is only named
+    as something else also stays on a page without an article, unless it is mostly links and controls.
+    An article inside a marked branch that does not hold most of the text is none.
     """
     half = nodes[0].chars / 2
-    holds = [False] * len(nodes)
+    holds, inside = [False] * len(nodes), [False] * len(nodes)
+    for k, node in enumerate(nodes[1:], 1):
+        inside[k] = inside[node.parent] or (node.dropped and node.chars <= half)
     for k in range(len(nodes) - 1, 0, -1):
-        if nodes[k].tag in ("article", "main") and not nodes[k].dropped:
+        if nodes[k].tag in ("article", "main") and not nodes[k].dropped and not inside[k] and nodes[k].chars:
             holds[k] = True
         if holds[k]:
             holds[nodes[k].parent] = True
     gone: set[int] = set()
     for k, node in enumerate(nodes[1:], 1):
-        marked = node.dropped and not (node.chars > half and holds[k])
+        prose = node.named and not holds[0] and 2 * node.control_chars <= node.chars
+        marked = node.dropped and not (node.chars > half and (holds[k] or prose))
         template = node.key in low and node.tag in GENERIC and node.chars <= half
         if marked or template or node.parent in gone:
             gone.add(k)

@@ -84,6 +84,32 @@ def test_article_without_its_surroundings():
     assert style_tree.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_marked_branches_that_hold_the_text_stay():
+    main = "<h2>Title of it</h2>" + "".join(f"<p>Paragraph {i} says a few words about the matter.</p>" for i in range(6))
+    want = style_tree.main_text(main)
+    assert want.count("\n") == 6
+    nav = "<nav><a href='/'>Home</a></nav><div class='share'>Tell a friend</div>"
+    for around in (
+        "<form id='aspnetForm' method=post><input type=hidden name=x>{}</form>",
+        "<div id='page' class='has-sidebar'>{}</div>",
+        "<div class='content search-page'>{}<div class='related'><article>Other one</article></div></div>",
+        "<div class='related-work'>{}</div>",
+        "<div class='page-header'>{}</div>",
+        "<form id=f><div class='wrap widget'>{}</div></form>",
+        "<div data-title='a hidden gem'>{}</div>",
+        "<div title=\"the hidden cost\" data-x = ' hidden '>{}</div>",
+    ):
+        assert style_tree.main_text(f"<body>{around.format(nav + main)}<footer>Imprint</footer></body>") == want, around
+    form = "<form><p>Write to us, we answer all letters soon and gladly.</p><input name=a><textarea></textarea></form>"
+    links = "<div class='related'>" + "<a href='/x'>Another story of this paper with a long name</a> " * 20 + "</div>"
+    for other in (form, links, "<div hidden>No</div>", "<div class=x hidden=''>No</div>", "<div title='a'hidden>No</div>"):
+        assert style_tree.main_text(f"<body>{other}{main}</body>") == want, other
+    comments = "<div class='comments'>" + "<p>I think so, too, and say it at length.</p>" * 20 + "</div>"
+    assert style_tree.main_text(f"<body><article>{main}</article>{comments}</body>") == want
+    half = "<form>" + "<p>This form is a long text with a single field.</p>" * 5 + "<input name=q></form>"
+    assert style_tree.main_text(f"<body>{main}{half}</body>").count("single field") == 5
+
+
 def test_repeated_branches_of_a_host_are_found(spark):
     r = random.Random(0)
     text = lambda n: " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(n))
