@@ -5,7 +5,10 @@ how low the rule's cutoff may be: a cutoff stands if an exact binomial test show
 most ``risk`` of the good documents. The tests of a rule are taken from the most lenient cutoff
 downwards and end at the first failure (fixed-sequence testing), and the level is divided among
 strata and rules (Bonferroni), so with probability ``1 - level`` every cutoff keeps its promise; the
-risks of the rules add up to ``risk``.
+risks of the rules add up to ``risk``. A stratum has only cutoffs that its own test certifies: with too
+few labels, or none, it has no cutoff, and only the base conditions reject there. The SQL of the query
+op10 lends small strata the cutoffs of all documents together instead (``pooled_below``), which promises
+nothing for the small stratum itself.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ GRIDS: Mapping[str, Sequence[float]] = {
     "repeats_per_word": (0.5, 0.45, 0.4, 0.35, 0.3),
     "duplicate_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
 }
-#: With five rules and five strata, no rejection among 320 good documents proves a risk of 0.02.
+#: With five rules and five strata, no rejection among 320 good documents proves a risk of 0.02; strata
+#: with fewer get pooled cutoffs in the SQL of op10, and only there.
 RISK, LEVEL, MIN_GOOD = 0.10, 0.05, 320
 
 
@@ -188,16 +192,17 @@ def risk_cutoffs(
     grids: Mapping[str, Sequence[float]] = GRIDS,
     risk: float = RISK,
     level: float = LEVEL,
-    min_good: int = MIN_GOOD,
+    pooled_below: int | None = None,
 ) -> DataFrame:
     """stratum, n_good, one cutoff per rule (null: the rule rejects nothing in that stratum).
 
     ``ruled`` has the numbers of :func:`judged`; ``labels`` has ``doc_id`` and ``quality``, 1 for good.
     The holdout is the good documents that the base conditions let pass. Labels that are null or
     repeat an id with different values count as not good. The result also has the stratum null of
-    documents without one, and one row marked ``is_default`` with the cutoffs of all strata together
-    for strata with fewer than ``min_good`` good documents. Only counts are shuffled: per stratum
-    and per number of cutoffs passed.
+    documents without one. A stratum without good documents has no row. With ``pooled_below``, one row
+    marked ``is_default`` has the cutoffs of all strata together, and strata with fewer good documents
+    than that have no row of their own: theirs are not certified by their own documents. Only counts
+    are shuffled: per stratum and per number of cutoffs passed.
     """
     good = labels.groupBy("doc_id").agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("_good"))
     held = ruled.filter(~F.col(f"{prefix}base_failed")).join(good.filter("_good = 1"), "doc_id")
@@ -209,13 +214,12 @@ def risk_cutoffs(
             out = out + (F.col(prefix + rule) > F.lit(float(cut))).cast("int")
         return out
 
+    groups = [F.struct(F.lit(False).alias("is_default"), F.col(stratum).alias("stratum"))]
+    if pooled_below is not None:
+        nothing = F.lit(None).cast(ruled.schema[stratum].dataType)
+        groups.append(F.struct(F.lit(True).alias("is_default"), nothing.alias("stratum")))
     each = held.select(
-        F.explode(
-            F.array(
-                F.struct(F.lit(False).alias("is_default"), F.col(stratum).alias("stratum")),
-                F.struct(F.lit(True).alias("is_default"), F.lit(None).cast(ruled.schema[stratum].dataType).alias("stratum")),
-            )
-        ).alias("g"),
+        F.explode(F.array(*groups)).alias("g"),
         *(passed(r).alias(r) for r in grids),
     )
     rejected = [
@@ -243,7 +247,7 @@ def risk_cutoffs(
         .groupBy("g", "n_good")
         .pivot("rule", list(grids))
         .agg(F.min(F.when(stands, F.col("cut"))))
-        .filter(F.col("g.is_default") | (F.col("n_good") >= min_good))
+        .filter(F.col("g.is_default") | (F.col("n_good") >= (pooled_below or 0)))
         .select("g.*", "n_good", *grids)
     )
 
@@ -275,6 +279,7 @@ def judged(
     own = cuts.filter("not is_default").select(
         F.col("stratum").alias("_stratum"), F.lit(True).alias("_has"), *(F.col(r).alias(f"_own_{r}") for r in grids)
     )
+    # without pooled cutoffs one row of nulls
     rest = cuts.filter("is_default").agg(*(F.first(r).alias(f"_all_{r}") for r in grids))
     joined = ruled.join(own, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").join(rest)
     above = F.lit(False)

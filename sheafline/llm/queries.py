@@ -65,7 +65,10 @@ def op9_curriculum_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_risk_rules(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    out = quality_rules.judged(docs, table(spark, sf, "labels"), carry=("doc_id", "lang"))
+    # as in the query's SQL; the pipeline's rules are certified per stratum
+    out = quality_rules.judged(
+        docs, table(spark, sf, "labels"), carry=("doc_id", "lang"), pooled_below=quality_rules.MIN_GOOD
+    )
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return out.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in names))
 

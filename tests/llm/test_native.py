@@ -204,3 +204,21 @@ def test_cutoffs_hold_their_risk_and_reject_bad_text(spark):
     good = [kept[i] for i, q, _ in labels if q]
     assert sum(good) / len(good) >= 1 - quality_rules.RISK
     assert not any(kept[i] for i, q, _ in labels if not q)
+
+
+def test_small_strata_have_only_their_own_cutoffs(spark):
+    """All good texts of a small stratum have symbols; the large one's cutoff says nothing about them."""
+    rows, labels = [], []
+    for i in range(900):
+        lang = {0: "small", 30: "small", 1: None, 31: None, 2: "unlabelled", 32: "unlabelled"}.get(i, "en")
+        bad = lang == "en" and i % 5 == 0
+        words = [f"w{i}x{k}" + ("***" if bad or lang != "en" else "") for k in range(60)]
+        rows.append((i, " ".join(words), lang))
+        if lang != "unlabelled":
+            labels.append((i, int(not bad), 0))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    want = {i for i, _, lang in rows if lang != "en" or i % 5}
+    assert {x.doc_id for x in quality_rules.kept_documents(df, labels).collect()} == want
+    out = quality_rules.judged(df, labels, pooled_below=quality_rules.MIN_GOOD).collect()
+    assert {x.lang for x in out if not x["_q_kept"]} == {"en", "small", None, "unlabelled"}
