@@ -207,25 +207,44 @@ def _inner(p: Pieces, text: str, own: int) -> tuple[int, int] | None:
     return first.start(), last
 
 
-def _full(p: Pieces, text: str, start: int, own: int, states: int) -> np.ndarray:
-    """[entry state, exit state] best scores over text[start:own], exits up to ``states - 1`` beyond."""
+def _full(p: Pieces, text: str, start: int, own: int, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """[entry state, exit state] best scores over text[start:own], exits up to ``states - 1`` beyond,
+    and the order of the entry states of every exit: the backtrace, which takes the latest start
+    among equal scores, prefers the higher one."""
     width = p.longest
     best = np.full((len(text) + 1, states), LOWEST, np.int64)
+    # the last piece's start, -1 where an entry state itself stands, and the order at that start
+    source = np.full(best.shape, -1, np.int64)
+    order, order_at_source = np.zeros(best.shape, np.int64), np.zeros(best.shape, np.int64)
     for i in range(min(states, len(text) - start + 1)):
         best[start + i, i] = 0
+
+    def settle(at: int) -> None:
+        if states > 1:
+            order[at, np.lexsort((order_at_source[at], source[at]))] = np.arange(states)
+
     for at in range(start, own):
         row = best[at]
-        if (row > LOWEST).any():
+        alive = row > LOWEST
+        if alive.any():
+            settle(at)
             for end, _, value in _arcs(p, text, at):
-                np.maximum(best[end], np.where(row > LOWEST, row + value, LOWEST), out=best[end])
-    out = np.full((states, width), LOWEST, np.int64)
+                better = alive & (row + value >= best[end])
+                best[end, better] = row[better] + value
+                source[end, better] = at
+                order_at_source[end, better] = order[at, better]
+    out, orders = np.full((states, width), LOWEST, np.int64), np.zeros((states, width), np.int64)
     reach = min(width, len(text) - own + 1)
+    for at in range(own, own + reach):
+        settle(at)
     out[:, :reach] = best[own : own + reach].T
-    return out
+    orders[:, :reach] = order[own : own + reach].T
+    return out, orders
 
 
-def transfer(p: Pieces, text: str, own: int, scored: bool = False) -> np.ndarray:
-    """The chunk's max-plus matrix: entry state (characters used already) x exit state.
+def ordered_transfer(p: Pieces, text: str, own: int, scored: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The chunk's max-plus matrix: entry state (characters used already) x exit state, and the order
+    of the entry states for equal scores.
 
     The border states of the best path do not change if a constant is added to a matrix, so what
     every path through the chunk has in common is left out, unless ``scored`` asks for true scores.
@@ -234,10 +253,17 @@ def transfer(p: Pieces, text: str, own: int, scored: bool = False) -> np.ndarray
     if inner is None:
         return _full(p, text, 0, own, p.longest)
     first, last = inner
-    enter = np.array([best_path(p, text, i, first)[0] for i in range(p.longest)], np.int64)
+    # all paths meet at the first border, so their order there is the order at every exit
+    enter, orders = (m[:, :1] for m in _full(p, text[:first], 0, first, p.longest))
     leave = _full(p, text, last, own, 1)[0]
     middle = encode_units(p, text[first:last])[0] if scored else 0
-    return np.where(leave[None, :] > LOWEST, enter[:, None] + middle + leave[None, :], LOWEST)
+    matrix = np.where((enter > LOWEST) & (leave > LOWEST), enter + middle + leave, LOWEST)
+    return matrix, np.broadcast_to(orders, matrix.shape)
+
+
+def transfer(p: Pieces, text: str, own: int, scored: bool = False) -> np.ndarray:
+    """The matrix of :func:`ordered_transfer`."""
+    return ordered_transfer(p, text, own, scored)[0]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -247,8 +273,10 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sums.max(axis=1)
 
 
-def border_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at each of the chunks' borders on the best path, from 0 at the start to 0 at the end."""
+def border_states(matrices: list[np.ndarray], orders: list[np.ndarray] | None = None) -> list[int]:
+    """The state at each of the chunks' borders on the best path, from 0 at the start to 0 at the end.
+
+    With ``orders``, equal scores give the path that the backtrace of the whole text takes."""
     reach = [matrices[0][:1]]
     for m in matrices[1:]:
         reach.append(product(reach[-1], m))
@@ -259,7 +287,8 @@ def border_states(matrices: list[np.ndarray]) -> list[int]:
         dead = (scores <= LOWEST) | (onward <= LOWEST)
         scores = scores + onward
         scores[dead] = LOWEST
-        states.append(int(scores.argmax()))
+        ties = np.flatnonzero(scores == scores.max())
+        states.append(int(ties[0] if orders is None else ties[orders[k][ties, states[-1]].argmax()]))
     return [0, *reversed(states)]
 
 
@@ -354,7 +383,10 @@ def encode(df: DataFrame, shared, key: str = "doc_id", text: str = "text", chunk
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(shared)
         for batch in batches:
-            made = [transfer(p, t.as_py(), n.as_py()).tobytes() for t, n in zip(batch.column(2), batch.column(3))]
+            made = [
+                np.stack(ordered_transfer(p, t.as_py(), n.as_py())).tobytes()
+                for t, n in zip(batch.column(2), batch.column(3))
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["row", "n", "matrix"]
             )
@@ -362,8 +394,8 @@ def encode(df: DataFrame, shared, key: str = "doc_id", text: str = "text", chunk
     def states(group: pa.Table) -> pa.Table:
         group = group.sort_by("n")
         width = _pieces(shared).longest
-        cut = [np.frombuffer(m.as_py(), np.int64).reshape(width, width) for m in group.column("matrix")]
-        at = border_states(cut)
+        cut = [np.frombuffer(m.as_py(), np.int64).reshape(2, width, width) for m in group.column("matrix")]
+        at = border_states([m for m, _ in cut], [o for _, o in cut])
         return pa.table(
             {
                 "row": group.column("row"),

@@ -127,6 +127,24 @@ def test_chunks_give_the_best_score_of_the_whole(pieces):
             assert score_of(pieces, text, joined) == best
 
 
+def test_chunks_give_the_ids_of_the_whole(pieces):
+    """Also where several segmentations have the best score."""
+    r = random.Random(12)
+    table = [(f"<{b}>", 0.0, "byte") for b in range(256)] + [(c, -1.0, "piece") for c in ("▁", "a", "aa", "aaa", "ab", "b", "ba")]
+    even = viterbi_scan.build([*table, ("aaaa", -1.5, "piece")])
+    assert even.longest == 4
+    texts = ["aaaaa", "a" * 41, "ab" * 30, *("".join(r.choice("aaaab ") for _ in range(r.randint(5, 90))) for _ in range(150))]
+    many = [(even, t, n) for t in texts for n in (3, 5, 8, 13)]
+    runs = ["=" * 500, "-" * 333 + "ab" * 90, "x = " * 60 + "=" * 200 + " y" * 50, "абв" * 70 + "\n" * 150]
+    for p, text, size in [*many, *((pieces, t, n) for t in runs for n in (pieces.longest, 50, 77))]:
+        text = viterbi_scan.normalized(text)
+        cut = viterbi_scan.chunks_of(p, text, size)
+        matrices, orders = zip(*(viterbi_scan.ordered_transfer(p, t, n) for t, n in cut))
+        states = viterbi_scan.border_states(list(matrices), list(orders))
+        ids = [i for (t, n), a, b in zip(cut, states, states[1:]) for i in viterbi_scan.trace(p, t, n, a, b)]
+        assert ids == viterbi_scan.encode_units(p, text)[1], (text, size)
+
+
 def test_best_path_beats_every_other_segmentation(pieces):
     def every(text):
         if not text:
