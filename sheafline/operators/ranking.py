@@ -1,20 +1,19 @@
 """Exact ranks and row numbers without sorting a whole group in one task.
 
 A window over ``partitionBy(sheet)`` puts a whole sheet into one task, and one sheet may hold a third
-of all rows. Both operators here cut every group into buckets that follow the sort order, count the
-buckets (map-side combined, narrow), and turn the counts into offsets; only a bucket is ever sorted.
+of all rows. Positions come from two passes over range partitions (``prefix_positions``); the keys at given
+ranks from hash buckets that follow the seeded order, of which only the wanted ones are sorted.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheafline.session import materialize
 
 HASH_DIGITS = 3  # 16**3 hash buckets per group
+ROWS_PER_TASK = 500_000  # rows that one task of ``prefix_positions`` sorts, about
 
 
 def seeded_hash(row_id: str | Column, seed: int = 42) -> Column:
@@ -30,50 +29,38 @@ def _offsets(df: DataFrame, group: list[str], bucket: list[str], before: str, si
     return counts.withColumn(before, F.coalesce(F.sum(size).over(window), F.lit(0)))
 
 
-def range_splitters(df: DataFrame, order: str, buckets: int) -> list:
-    """At most ``buckets - 1`` ascending cut values of a numeric column (one narrow job)."""
-    steps = [i / buckets for i in range(1, buckets)]
-    if not steps:
-        return []
-    row = df.agg(F.percentile_approx(order, F.array(*map(F.lit, steps)), F.lit(10 * buckets)).alias("q")).first()
-    return sorted(set(row["q"] or []))
-
-
-def range_bucket(value: Column, cuts: list) -> Column:
-    """The number of cut values below ``value``, as a binary search of nested CASEs."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value <= cuts[middle], search(low, middle)).otherwise(search(middle + 1, high))
-
-    return search(0, len(cuts))
-
-
-def with_row_number(
-    df: DataFrame,
-    group: list[str],
-    order: str,
-    name: str,
-    start: int = 0,
-    buckets: int = 64,
+def prefix_positions(
+    df: DataFrame, group: list[str], order: list[str | Column], name: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
-    """Dense row number per group in the order of a unique numeric column.
-
-    The cut values are fixed once, so a retried task sees the same buckets. The offsets (groups x
-    buckets rows) are written first: Spark sees their true size and broadcasts them only while they
-    are small. The rows are shuffled once, by group and bucket.
+    """Dense positions from 0 per group in a total order, by two passes over range partitions.
+
+    The rows are dealt into ranges of ``(group, order)`` whose number follows the row count, sorted
+    inside their range and written once; every (range, group) piece then knows its length, and a
+    running sum over the pieces, one small row each, gives the position of a piece's first row. No
+    task sorts more than one range, whatever share of the rows a group holds, and a retried task
+    finds the same ranges, because they are files. ``order`` entries are column names or sort
+    expressions; rows that tie in all of them get their positions in the order the range holds them.
+    Null groups are a group. Every column of ``df`` travels, so callers pass keys, not texts. A row
+    count runs first: where counting ``df`` is dear, materialize it before.
     """
-    cuts = range_splitters(df, order, buckets)
-    keyed = df.withColumn("_bucket", range_bucket(F.col(order), cuts))
-    offsets = materialize(_offsets(keyed, group, ["_bucket"], "_before", "_size").drop("_size"))
-    # null-safe keys keep the rows of an unnamed group
-    on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*group, "_bucket"]])
-    joined = keyed.alias("r").join(offsets.alias("o"), on).select("r.*", "o._before")
-    window = Window.partitionBy(*group, "_bucket").orderBy(order)
-    number = F.col("_before") + F.row_number().over(window) - F.lit(1) + F.lit(start)
-    return joined.withColumn(name, number.cast("long")).drop("_bucket", "_before")
+    tasks = max(1, -(-df.count() // rows_per_task))
+    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    ranged = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    placed = materialize(ranged.withColumn("_row", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_row", 33))
+    pieces = placed.groupBy(*group, "_range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+    pieces = materialize(pieces.select(*group, "_range", offset.alias("_offset")))
+    return _null_safe(placed, pieces, [*group, "_range"]).withColumn(name, F.col("_row") + F.col("_offset")).drop(
+        "_row", "_range", "_offset"
+    )
+
+
+def with_row_number(df: DataFrame, group: list[str], order: str, name: str, start: int = 0, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Dense row number per group in the order of a unique column; see ``prefix_positions``."""
+    placed = prefix_positions(df, group, [order], name, rows_per_task)
+    return placed.withColumn(name, (F.col(name) + F.lit(start)).cast("long"))
 
 
 def rank_cutoffs(

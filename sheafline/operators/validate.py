@@ -6,13 +6,13 @@ as rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sheafline.functions.numbers import bind
 from sheafline.functions.text import marked_groups, preview, strip_space, word_count
-from sheafline.operators.ranking import range_bucket, range_splitters
+from sheafline.operators.ranking import ROWS_PER_TASK, prefix_positions
 from sheafline.session import materialize
 
 HEADER_ROWS = 2  # a row index of 0 is line 2 of a sheet: one header line, counting from 1
@@ -249,29 +249,17 @@ def overall(summary: DataFrame, total_sheets: int | None = None) -> DataFrame:
     )
 
 
-def numbered(issues: DataFrame, buckets: int = 64) -> DataFrame:
-    """Issues of each severity numbered from 1 in report order: sheet, section, row.
+def numbered(issues: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Issues of each severity numbered from 1 in report order: sheet, section, row, column, message.
 
-    The issues are written once to the shared scratch folder, so that the texts are checked a single
-    time. Only blocks of (sheet, section, row range) are sorted as rows; the numbers of the blocks
-    come from a running sum over per-sheet counts and one over each sheet's own blocks.
+    One written pass over ranges of the report order (``prefix_positions``): the texts are checked a
+    single time and no task sorts a whole sheet. Issues of a whole sheet come before those of its rows.
     """
-    issues = materialize(issues)
-    cuts = range_splitters(issues, "row_idx", buckets)
-    keyed = issues.withColumn("_b", range_bucket(F.coalesce("row_idx", F.lit(-1)), cuts))
-    place = ["severity", "sheet_ord", "sheet", "section", "_b"]
-    sizes = keyed.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
-    in_sheet = Window.partitionBy("severity", "sheet_ord", "sheet").orderBy("section", "_b")
-    sheets = sizes.groupBy("severity", "sheet_ord", "sheet").agg(F.sum("_n").alias("_sheet_n"))
-    over_sheets = Window.partitionBy("severity").orderBy("sheet_ord", "sheet")
-    sheets = sheets.withColumn("_sheet_before", F.sum("_sheet_n").over(over_sheets) - F.col("_sheet_n"))
-    blocks = sizes.withColumn("_in_sheet", F.sum("_n").over(in_sheet) - F.col("_n")).join(
-        sheets, ["severity", "sheet_ord", "sheet"]
-    )
-    before = materialize(blocks.select(*place, (F.col("_sheet_before") + F.col("_in_sheet")).alias("_before")))
-    inside = Window.partitionBy(*place).orderBy("row_idx", "column", "message")
-    return (
-        keyed.join(before, place)
-        .withColumn("issue_no", F.col("_before") + F.row_number().over(inside))
-        .drop("_b", "_before")
+    placed = prefix_positions(
+        materialize(issues),
+        ["severity"],
+        ["sheet_ord", "sheet", "section", F.asc_nulls_first("row_idx"), "column", "message"],
+        "issue_no",
+        rows_per_task,
     )
+    return placed.withColumn("issue_no", F.col("issue_no") + 1)

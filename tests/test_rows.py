@@ -48,12 +48,34 @@ def test_row_number_is_dense_in_a_hot_group(spark):
     ids = rng.sample(range(10**6), 900)
     data = [("hot" if i % 3 else f"g{i % 5}", k) for i, k in enumerate(ids)] + [(None, 5), (None, 3)]
     df = spark.createDataFrame(data, "sheet string, id long").repartition(7)
-    got = {(r["sheet"], r["id"]): r["row_idx"] for r in ranking.with_row_number(df, ["sheet"], "id", "row_idx", buckets=16).collect()}
+    got = {(r["sheet"], r["id"]): r["row_idx"] for r in ranking.with_row_number(df, ["sheet"], "id", "row_idx", rows_per_task=50).collect()}
     for sheet in {s for s, _ in data}:
         ordered = sorted(k for s, k in data if s == sheet)
         assert [got[(sheet, k)] for k in ordered] == list(range(len(ordered)))
 
 
+def test_no_task_sorts_a_hot_sheet(spark, monkeypatch):
+    """90 % of 20,000 rows in one sheet: at most a fifteenth of all rows in a range."""
+    written = []
+    monkeypatch.setattr(ranking, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 70).otherwise(-1).alias("sheet"), F.col("id").alias("k"))
+    rows = ranking.with_row_number(df.repartition(5, "k"), ["sheet"], "k", "n", start=1, rows_per_task=1000).collect()
+    sizes = [r["count"] for r in written[0].groupBy(F.shiftright("_row", 33)).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) <= 20_000 / 15
+    seen = {}
+    for sheet, _, n in sorted((r["sheet"], r["k"], r["n"]) for r in rows):
+        seen[sheet] = seen.get(sheet, 0) + 1
+        assert n == seen[sheet]
+
+
+def test_positions_of_empty_and_repeated_rows(spark):
+    empty = spark.createDataFrame([], "g string, k long")
+    assert ranking.prefix_positions(empty, ["g"], ["k"], "at").collect() == []
+    same = spark.createDataFrame([("a", 1)] * 4 + [("a", None), (None, 2)], "g string, k long")
+    got = sorted((str(r["g"]), r["k"] or 0, r["at"]) for r in ranking.prefix_positions(same, ["g"], ["k"], "at", 2).collect())
+    assert got == [("None", 2, 0), ("a", 0, 0), ("a", 1, 1), ("a", 1, 2), ("a", 1, 3), ("a", 1, 4)]
+
+
 def key(i, seed=42):
     return hashlib.md5(f"{seed}:{i}".encode()).hexdigest()
 
