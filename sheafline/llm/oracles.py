@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sheafline.llm.merkle_sql import OP13
+from sheafline.llm.pair_search_sql import OP12
 from sheafline.llm.quality_rules import GRIDS, LEVEL, MIN_GOOD, RISK
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -198,5 +199,6 @@ ORACLES = {
     "op8_chat_template": OP8,
     "op9_curriculum_mix": OP9,
     "op10_risk_rules": OP10,
+    "op12_pair_maxscore": OP12,
     "op13_merkle_manifest": OP13,
 }
