@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheafline.llm import arc_convert, chat_format, curriculum, jump_hash, lsh_forest, merkle, pair_search, quality_rules, setsketch, style_tree, viterbi_scan, weak_labels
+from sheafline.llm import arc_convert, chat_format, context_mix, curriculum, jump_hash, lsh_forest, merkle, pair_search, quality_rules, setsketch, style_tree, viterbi_scan, weak_labels
 from sheafline.llm.oracles import ORACLES
 from sheafline.llm.words import table
 
@@ -73,6 +73,10 @@ def op10_risk_rules(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in names))
 
 
+def op11_context_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return context_mix.score(table(spark, sf, "documents"))
+
+
 def op12_pair_maxscore(spark: SparkSession, sf: str) -> DataFrame:
     return pair_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -81,6 +85,6 @@ def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.manifest(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_arc_to_warc, op2_weak_labels, op3_setsketch_dedup, op4_prefix_forest, op5_viterbi_pieces, op6_style_tree, op7_jump_shards, op8_chat_template, op9_curriculum_mix, op10_risk_rules, op12_pair_maxscore, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_arc_to_warc, op2_weak_labels, op3_setsketch_dedup, op4_prefix_forest, op5_viterbi_pieces, op6_style_tree, op7_jump_shards, op8_chat_template, op9_curriculum_mix, op10_risk_rules, op11_context_mix, op12_pair_maxscore, op13_merkle_manifest)}
 
 __all__ = ["ORACLES", "QUERIES"]
