@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sheafline.functions.naming import iteration_name, trailing_iteration
 from sheafline.functions.numbers import round_exact
+from sheafline.operators.ranking import ROWS_PER_TASK, prefix_sums
 
 LEDGER_SCHEMA = (
     "mode string, iteration int, epochs int, train_loss double, eval_loss double, "
@@ -76,10 +77,9 @@ def latest_runs(ledger: DataFrame, by: str = "mode") -> DataFrame:
     return ledger.groupBy(by).agg(F.max("iteration").alias("iteration"), F.max_by("path", "iteration").alias("path"))
 
 
-def cumulative_epochs(ledger: DataFrame, by: str = "mode") -> DataFrame:
-    """Epochs trained up to and including each iteration (one row per run, a small table)."""
-    window = Window.partitionBy(by).orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)
-    return ledger.withColumn("total_epochs", F.sum("epochs").over(window))
+def cumulative_epochs(ledger: DataFrame, by: str = "mode", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Epochs trained up to and including each iteration; a mode may have any number of runs."""
+    return prefix_sums(ledger, [by], ["iteration"], "epochs", "total_epochs", rows_per_task)
 
 
 def continued_iterations(runs: DataFrame, iterations: int, resume: str = "resume_from") -> DataFrame:

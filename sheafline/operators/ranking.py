@@ -29,34 +29,61 @@ def _offsets(df: DataFrame, group: list[str], bucket: list[str], before: str, si
     return counts.withColumn(before, F.coalesce(F.sum(size).over(window), F.lit(0)))
 
 
+def _ranges(df: DataFrame, group: list[str], order: list[str | Column], rows_per_task: int) -> DataFrame:
+    """The rows with ``_range`` and ``_row``, sorted in ranges of (group, order), as files.
+
+    The number of ranges follows the row count; a retried task finds the same ranges. A row count
+    runs first: where counting ``df`` is dear, materialize it before.
+    """
+    tasks = max(1, -(-df.count() // rows_per_task))
+    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
+    ranged = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
+    return materialize(ranged.withColumn("_row", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_row", 33))
+
+
+def _earlier(group: list[str]) -> Window:
+    return Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def prefix_positions(
     df: DataFrame, group: list[str], order: list[str | Column], name: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame:
     """Dense positions from 0 per group in a total order, by two passes over range partitions.
 
-    The rows are dealt into ranges of ``(group, order)`` whose number follows the row count, sorted
-    inside their range and written once; every (range, group) piece then knows its length, and a
-    running sum over the pieces, one small row each, gives the position of a piece's first row. No
-    task sorts more than one range, whatever share of the rows a group holds, and a retried task
-    finds the same ranges, because they are files. ``order`` entries are column names or sort
-    expressions; rows that tie in all of them get their positions in the order the range holds them.
-    Null groups are a group. Every column of ``df`` travels, so callers pass keys, not texts. A row
-    count runs first: where counting ``df`` is dear, materialize it before.
+    The rows are sorted inside ranges of ``(group, order)``; every (range, group) piece knows its
+    length, and a running sum over the pieces, one small row each, gives the position of a piece's
+    first row. No task sorts more than one range, whatever share of the rows a group holds. ``order``
+    entries are column names or sort expressions; rows that tie in all of them get their positions in
+    the order the range holds them. Null groups are a group. Every column of ``df`` travels, so
+    callers pass keys, not texts.
     """
-    tasks = max(1, -(-df.count() // rows_per_task))
-    keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = df.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
-    placed = materialize(ranged.withColumn("_row", F.monotonically_increasing_id()))
-    placed = placed.withColumn("_range", F.shiftright("_row", 33))
+    placed = _ranges(df, group, order, rows_per_task)
     pieces = placed.groupBy(*group, "_range").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+    offset = F.coalesce(F.sum("_n").over(_earlier(group)), F.lit(0)) - F.col("_first")
     pieces = materialize(pieces.select(*group, "_range", offset.alias("_offset")))
     return _null_safe(placed, pieces, [*group, "_range"]).withColumn(name, F.col("_row") + F.col("_offset")).drop(
         "_row", "_range", "_offset"
     )
 
 
+def prefix_sums(
+    df: DataFrame, group: list[str], order: list[str | Column], value: str, name: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
+    """Running sum of a column per group in a total order: a segmented parallel scan.
+
+    Ranges as in ``prefix_positions``: the sums of the (range, group) pieces are scanned, one small
+    row each, and every piece is then scanned by itself from what came before it. Null values add
+    nothing; before the first value the sum is null, as in SQL.
+    """
+    placed = _ranges(df, group, order, rows_per_task)
+    pieces = placed.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
+    pieces = materialize(pieces.select(*group, "_range", F.sum("_sum").over(_earlier(group)).alias("_before")))
+    inside = Window.partitionBy(*group, "_range").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    joined = _null_safe(placed, pieces, [*group, "_range"]).withColumn("_here", F.sum(value).over(inside))
+    total = F.coalesce(F.col("_before") + F.col("_here"), F.col("_here"), F.col("_before"))
+    return joined.withColumn(name, total).drop("_row", "_range", "_before", "_here")
+
+
 def with_row_number(df: DataFrame, group: list[str], order: str, name: str, start: int = 0, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Dense row number per group in the order of a unique column; see ``prefix_positions``."""
     placed = prefix_positions(df, group, [order], name, rows_per_task)

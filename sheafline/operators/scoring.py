@@ -218,3 +218,17 @@ def pick_model(df: DataFrame, registry: dict[str, str], provider: str = "provide
     unknown = F.raise_error(F.concat(F.lit("unsupported provider: "), F.coalesce(F.col(provider), F.lit("null"))))
     chosen = F.coalesce(F.nullif(F.col(model), F.lit("")), default)
     return df.withColumn("model", F.when(default.isNull(), unknown).otherwise(chosen))
+
+
+def save_bucketed(df: DataFrame, table: str, buckets: int, keys: tuple[str, ...] = ("sheet", "row_idx")) -> None:
+    """A table in buckets of its keys, sorted inside: two such tables with the same number of buckets
+    are joined on the keys without a shuffle, however large they are."""
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+
+def align_predictions(corpus: DataFrame, predictions: DataFrame, keys: tuple[str, ...] = ("sheet", "row_idx")) -> DataFrame:
+    """The corpus with an external table's ``prediction``; rows without one keep a null.
+
+    The merge is asked for, because a table read from buckets has them already; nothing is broadcast.
+    """
+    return corpus.join(predictions.select(*keys, "prediction").hint("merge"), list(keys), "left")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.operators.budget import row_budget, sheet_quotas, sheet_table
+from sheafline.operators.budget import row_budget, sheet_quotas
 from sheafline.operators.metrics import confusion_counts, fill_missing_groups, report_with_total
 from sheafline.operators.scoring import Scorer, dry_run, score
 from sheafline.session import materialize
@@ -40,9 +40,7 @@ def evaluate_corpus(
     zeros. So do ``failed_sheets`` and, where labels are text, sheets with a label among the rows to
     process that is no number: they use no budget, their rows stay with null results.
     """
-    known = _all_sheets(corpus, sheets, failed_sheets)
-    if corpus.schema["label"].dataType.typeName() == "string":
-        known = _with_label_failures(corpus, known, max_per_sheet, max_total)
+    known = _with_label_failures(_all_sheets(corpus, sheets, failed_sheets), max_per_sheet, max_total)
     budgeted = row_budget(corpus, max_per_sheet, max_total, known)
     scored = materialize(score(budgeted, factory, batch_size, budget="in_budget", partitions=partitions))
     reached = sheet_quotas(known, max_per_sheet, max_total).filter("reached")
@@ -50,30 +48,49 @@ def evaluate_corpus(
 
 
 def _all_sheets(corpus: DataFrame, listed: DataFrame | None, failed: DataFrame | None) -> DataFrame:
-    """One row per sheet, ``sheet, sheet_ord, rows, failed``, whichever table names it."""
-    table = sheet_table(corpus).withColumn("failed", F.lit(False))
+    """One row per sheet, whichever table names it: ``sheet, sheet_ord, rows, failed, first_bad``.
+
+    ``first_bad`` is the first row whose label is text that is no number; null where labels are
+    numbers. The only scan of the corpus before the scoring, of its keys and labels.
+    """
+    bad = F.lit(None).cast("long")
+    if corpus.schema["label"].dataType.typeName() == "string":
+        bad = F.when(F.col("label").isNotNull() & F.col("label").try_cast("double").isNull(), F.col("row_idx").cast("long"))
+    table = corpus.groupBy("sheet", "sheet_ord").agg(F.count(F.lit(1)).alias("rows"), F.min(bad).alias("first_bad"))
+    table = table.withColumn("failed", F.lit(False))
     for more, flag in ((listed, False), (failed, True)):
         if more is not None:
             none = F.lit(0).cast("long").alias("rows")
-            table = table.unionByName(more.select("sheet", "sheet_ord", none, F.lit(flag).alias("failed")))
-    merged = table.groupBy("sheet", "sheet_ord").agg(F.sum("rows").alias("rows"), F.max("failed").alias("failed"))
+            named = more.select("sheet", "sheet_ord", none, F.lit(None).cast("long").alias("first_bad"), F.lit(flag).alias("failed"))
+            table = table.unionByName(named)
+    merged = table.groupBy("sheet", "sheet_ord")
+    merged = merged.agg(F.sum("rows").alias("rows"), F.max("failed").alias("failed"), F.min("first_bad").alias("first_bad"))
     return materialize(merged)
 
 
-def _with_label_failures(
-    corpus: DataFrame, sheets: DataFrame, max_per_sheet: int | None, max_total: int | None
-) -> DataFrame:
-    """Mark sheets whose processed labels hold text. A failure frees budget for later sheets, which
-    can only bring more rows, so failures are added until there is no new one."""
-    text = F.col("label").isNotNull() & F.col("label").try_cast("double").isNull()
-    while True:
-        rows = row_budget(corpus.select("sheet", "row_idx", "label"), max_per_sheet, max_total, sheets)
-        broken = rows.filter(F.col("in_budget") & text).select("sheet", F.lit(True).alias("_broken")).distinct()
-        marked = materialize(sheets.join(broken, "sheet", "left"))
-        if marked.filter("_broken and not failed").isEmpty():
-            return sheets
-        flag = F.col("failed") | F.coalesce(F.col("_broken"), F.lit(False))
-        sheets = marked.select("sheet", "sheet_ord", "rows", flag.alias("failed"))
+def _with_label_failures(sheets: DataFrame, max_per_sheet: int | None, max_total: int | None) -> DataFrame:
+    """Mark sheets whose rows to process hold a label that is no number.
+
+    Which rows a sheet may process depends on the budget that the sheets before it used, and a failed
+    sheet uses none: a fold over the table of sheets, which has one small row per sheet, carries the
+    budget used so far and decides sheet after sheet.
+    """
+    entry = F.struct("sheet_ord", "sheet", "rows", "failed", "first_bad")
+    rows = sheets.agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    state = "struct<used:bigint,broken:array<boolean>>"
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<boolean>").alias("broken")).cast(state)
+
+    def decide(done: Column, sheet: Column) -> Column:
+        size = F.least(sheet["rows"], F.lit(max_per_sheet).cast("long")) if max_per_sheet else sheet["rows"]
+        if max_total:
+            size = F.greatest(F.lit(0).cast("long"), F.least(size, F.lit(max_total).cast("long") - done["used"]))
+        broken = sheet["failed"] | (F.coalesce(sheet["first_bad"] < size, F.lit(False)))
+        used = done["used"] + F.when(broken, F.lit(0)).otherwise(size)
+        return F.struct(used.alias("used"), F.array_append(done["broken"], broken).alias("broken")).cast(state)
+
+    decided = rows.select("all", F.aggregate("all", start, decide, lambda s: s["broken"]).alias("broken"))
+    pairs = decided.select(F.explode(F.arrays_zip("all", "broken")).alias("p"))
+    return materialize(pairs.select("p.all.sheet", "p.all.sheet_ord", "p.all.rows", F.col("p.broken").alias("failed")))
 
 
 def evaluation_report(scored: DataFrame, sheets: DataFrame | None = None) -> DataFrame:

@@ -175,6 +175,9 @@ QUOTED = (
     "'[' || array_to_string(list_transform(g, lambda x: CASE WHEN contains(x, '''') AND NOT contains(x, '\"') THEN '\"' || x || '\"' "
     "ELSE '''' || replace(x, '''', '\\''') || '''' END), ', ') || ']'"
 )
+TEXT_MESSAGE = (
+    f"CASE code WHEN 'missing' THEN 'Missing/null value' WHEN 'empty' THEN 'Empty text value' WHEN 'no_group' THEN 'No angular bracket group found - ''' || CASE WHEN length(t) > 50 THEN substring(t, 1, 50) || '...' ELSE t END || '''' WHEN 'multiple_groups' THEN 'Multiple angular bracket groups found (' || len(g) || '): ' || {QUOTED} WHEN 'blank_group' THEN 'Empty angular bracket group ''<>''' ELSE 'Long angular bracket group (' || nw || ' words) ''<' || trim(g[1]) || '>''' END"
+)
 # first and text issues of every row, numbered in report order
 ALL_ISSUES = (
     f"{BROKEN}, {TEXT_ISSUE}, issues AS ("
@@ -182,6 +185,19 @@ ALL_ISSUES = (
     f"UNION ALL SELECT {SEVERITY}, b.sheet, 'text', b.row_idx + 2, t.code, CASE WHEN t.code = 'missing' THEN 3 ELSE 4 END FROM text_issue t JOIN broken b USING (doc_id) WHERE t.code IS NOT NULL)"
 )
 
+# The sheets as files: labels as text, src3 without a label column, src4 without a header.
+FILES = (
+    f"{TEXT_ISSUE}, {NUMBERED.format('text_issue')}, v AS (SELECT *, CASE WHEN doc_id % 29 = 0 THEN '2' WHEN doc_id % 31 = 0 THEN 'yes' "
+    "WHEN doc_id % 37 = 0 THEN NULL ELSE CAST(doc_id % 2 AS VARCHAR) END AS lab FROM numbered WHERE sheet NOT IN ('src3', 'src4')), "
+    "found AS (SELECT 'error' AS severity, sheet, row_idx, 'label' AS \"column\", CASE WHEN lab IS NULL THEN 'missing' ELSE 'invalid_label' END AS code, "
+    f"CASE WHEN lab IS NULL THEN 1 ELSE 2 END AS section, {where('label')} || CASE WHEN lab IS NULL THEN 'Missing/null value' "
+    "ELSE 'Invalid value ''' || lab || ''' (should be 0 or 1)' END AS message FROM v WHERE lab IS NULL OR lab NOT IN ('0', '1') "
+    f"UNION ALL SELECT {SEVERITY}, sheet, row_idx, 'text', code, CASE WHEN code = 'missing' THEN 3 ELSE 4 END, {where('text')} || {TEXT_MESSAGE} FROM v WHERE code IS NOT NULL "
+    "UNION ALL VALUES ('error', 'src3', NULL, 'label', 'missing_column', 0, 'Sheet ''src3'': Missing required column ''label'''), "
+    "('warning', 'src3', NULL, NULL, 'available_columns', 0, 'Sheet ''src3'': Available columns: [''doc_id'', ''text'']'), "
+    "('error', 'src4', NULL, NULL, 'unreadable', 0, 'Error reading sheet src4: no header'))"
+)
+
 HASH = "md5('42:' || CAST(doc_id AS VARCHAR))"
 
 
@@ -280,6 +296,115 @@ def _end_to_end() -> str:
     )
 
 
+TEXT_REPLY = "CASE WHEN length(btxt) % 3 <> 0 THEN 'answer ' || (length(btxt) % 2) ELSE 'unsure' END"
+
+
+def _failed_sheets() -> str:
+    """The budget is passed on from sheet to sheet; one that fails uses none."""
+    return (
+        f"WITH RECURSIVE {DOCS}, {NUMBERED.format('docs')}, {SHEETS}, "
+        "bad AS (SELECT sheet, sheet_ord, n, coalesce(min(row_idx) FILTER (doc_id % 211 = 5), n) AS first_bad FROM numbered JOIN sheets USING (sheet) GROUP BY sheet, sheet_ord, n), "
+        "fold AS (SELECT 0::BIGINT AS sheet_ord, '' AS sheet, 0::BIGINT AS used, 0::BIGINT AS quota, true AS reached UNION ALL "
+        "SELECT b.sheet_ord, b.sheet, used + CASE WHEN first_bad < q THEN 0 ELSE q END, CASE WHEN first_bad < q THEN 0 ELSE q END, used < 400 FROM "
+        "(SELECT bad.*, used, greatest(0, least(n, 30, 400 - used)) AS q FROM fold JOIN bad ON bad.sheet_ord = fold.sheet_ord + 1) b), "
+        "rows_in AS (SELECT n.*, l.quality AS label, row_idx < quota AS inb, trim(n.text, chr(10)) AS btxt FROM numbered n JOIN fold f ON f.sheet = n.sheet AND reached LEFT JOIN labels l USING (doc_id)), "
+        f"sc AS (SELECT sheet, label, CASE WHEN inb THEN {parsed('(' + TEXT_REPLY + ')')} END AS ai_label FROM rows_in), "
+        f"c AS ({counts('sc', 'sheet')}) {rates(total('c'))}"
+    )
+
+
+def _empty_sheets() -> str:
+    """Sheets without rows come first, an unreadable one has no counts and uses no budget."""
+    return (
+        f"WITH {DOCS}, {NUMBERED.format('docs')}, sheets AS (SELECT sheet, row_number() OVER (ORDER BY sheet) AS sheet_ord, n FROM (SELECT source AS sheet, CASE WHEN source = 'src0' THEN 0 ELSE count(*) END AS n FROM documents GROUP BY 1)), {_budget(30, 400)}, "
+        "rows_in AS (SELECT n.*, l.quality AS label, row_idx < quota AS inb, trim(n.text, chr(10)) AS btxt FROM numbered n JOIN quota USING (sheet) LEFT JOIN labels l USING (doc_id)), "
+        f"sc AS (SELECT sheet, label, CASE WHEN inb THEN {parsed('(' + TEXT_REPLY + ')')} END AS ai_label FROM rows_in UNION ALL SELECT DISTINCT 'empty-' || lang, NULL, NULL FROM documents), "
+        f"c AS ({counts('sc', 'sheet')}) {rates(total('c'))}"
+    )
+
+
+#: Least squares on the train rows: Gauss-Jordan elimination of the normal equations, one dimension a step.
+OLS = (
+    "x AS (SELECT vec_id, 'c' || (vec_id % 11) AS sheet, label % 2 AS y_true, CAST(label % 2 AS DOUBLE) AS y, vec_id % 4 = 3 AS is_test, "
+    "[1e0] || list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings), "
+    "train AS (SELECT z || [y] AS z FROM x WHERE NOT is_test), "
+    "gram AS (SELECT i, j, sum(z[i] * z[j]) AS g FROM train, range(1, 66) a(i), range(1, 67) b(j) GROUP BY i, j), "
+    "start AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS r FROM gram GROUP BY i)), "
+    "solve AS (SELECT 1 AS k, m FROM start UNION ALL SELECT k + 1, "
+    "[CASE WHEN i = k THEN [v / m[k][k] for v in m[k]] ELSE [m[i][j] - m[i][k] * m[k][j] / m[k][k] for j in range(1, 67)] END for i in range(1, 66)] "
+    "FROM solve WHERE k <= 65), "
+    "weights AS (SELECT [r[66] for r in m] AS w FROM solve WHERE k = 66), "
+    "fitted AS (SELECT x.*, list_dot_product(z, w) AS p FROM x, weights)"
+)
+
+
+def _logistic(percents: str, steps: int = 120) -> str:
+    """Logistic fits of nested shares by a fixed majorant of the curvature: X'X / 4 plus the penalty.
+
+    Its inverse comes from one elimination per share; every step then needs the gradient only.
+    """
+    w = 65
+    return (
+        "x AS (SELECT vec_id, CAST(label % 2 AS DOUBLE) AS label, vec_id % 4 = 3 AS is_test, [1e0] || list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS z FROM embeddings), "
+        "ranked AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) AS rk, count(*) OVER () AS n FROM x WHERE NOT is_test), "
+        f"shares AS (SELECT CAST(unnest({percents}) AS INT) AS share), "
+        "train AS (SELECT z, label, share, rk, n FROM ranked, shares WHERE rk <= n * share // 100), "
+        f"bound AS (SELECT share, i, j, sum(z[i] * z[j]) / 4 + CASE WHEN i = j AND i > 1 THEN 1e0 ELSE 0e0 END AS g FROM train, range(1, {w + 1}) a(i), range(1, {w + 1}) b(j) GROUP BY share, i, j), "
+        f"start AS (SELECT share, list(r || [CASE WHEN k = i THEN 1e0 ELSE 0e0 END for k in range(1, {w + 1})] ORDER BY i) AS m FROM (SELECT share, i, list(g ORDER BY j) AS r FROM bound GROUP BY share, i) GROUP BY share), "
+        f"solve AS (SELECT 1 AS k, share, m FROM start UNION ALL SELECT k + 1, share, "
+        f"[CASE WHEN i = k THEN [v / m[k][k] for v in m[k]] ELSE [m[i][j] - m[i][k] * m[k][j] / m[k][k] for j in range(1, {2 * w + 1})] END for i in range(1, {w + 1})] FROM solve WHERE k <= {w}), "
+        f"inverse AS (SELECT share, [r[{w + 1}:{2 * w}] for r in m] AS inv FROM solve WHERE k = {w + 1}), "
+        f"fit AS (SELECT 0 AS k, share, [0e0 for i in range(1, {w + 1})] AS w FROM inverse UNION ALL "
+        "SELECT k + 1, share, [w[i] - list_dot_product(inv[i], g) for i in range(1, 66)] FROM ("
+        "SELECT k, share, w, list(g + CASE WHEN j > 1 THEN w[j] ELSE 0e0 END ORDER BY j) AS g FROM ("
+        "SELECT f.k, f.share, any_value(f.w) AS w, j, sum((1e0 / (1e0 + exp(-list_dot_product(t.z, f.w))) - t.label) * t.z[j]) AS g "
+        f"FROM fit f JOIN train t ON t.share = f.share, range(1, {w + 1}) r(j) WHERE f.k < {steps} GROUP BY f.k, f.share, j) GROUP BY k, share, w) JOIN inverse USING (share)), "
+        f"models AS (SELECT f.share, f.w, count(*) AS train_sentences FROM fit f JOIN train t ON t.share = f.share WHERE f.k = {steps} GROUP BY f.share, f.w), "
+        "judged AS (SELECT share, train_sentences, label, list_dot_product(z, w) > 0 AS one FROM models, x WHERE is_test), "
+        "c AS (SELECT share AS train_percentage, train_sentences, count(*) AS test_sentences, count(*) FILTER (one AND label = 1) AS tp, count(*) FILTER (NOT one AND label = 0) AS tn, "
+        "count(*) FILTER (one AND label = 0) AS fp, count(*) FILTER (NOT one AND label = 1) AS fn FROM judged GROUP BY 1, 2)"
+    )
+
+
+def _curve(percents: str, keys: str) -> str:
+    p1, r1, p0, r0 = div("tp", "tp + fp"), div("tp", "tp + fn"), div("tn", "tn + fn"), div("tn", "tn + fp")
+    cells = {"true_positives": "tp", "true_negatives": "tn", "false_positives": "fp", "false_negatives": "fn"}
+    shown = ", ".join(f"{rnd(div(f'{c} * 100', 'test_sentences'), 2)} AS {n}" for n, c in cells.items())
+
+    def mean(one: str, zero: str) -> str:
+        return f"(({one} * (tp + fn) + {zero} * (tn + fp)) / CAST(test_sentences AS DOUBLE))"
+
+    return (
+        f"WITH RECURSIVE {_logistic(percents)}, v AS (SELECT *, {p1} AS p1, {r1} AS r1, {p0} AS p0, {r0} AS r0 FROM c) "
+        f"SELECT {keys}test_sentences, {shown}, {mean('p1', 'p0')} AS precision, {mean('r1', 'r0')} AS recall, {mean(f1('p1', 'r1'), f1('p0', 'r0'))} AS f1 FROM v"
+    )
+
+
+# Texts with one planted relative each; n characters and k foreign ones match in 2n / (2n + k).
+PLANTED = (
+    r"w AS (SELECT doc_id, source AS sheet, regexp_split_to_array(text, '\s+')[1:CASE WHEN doc_id % 2 = 0 THEN 14 ELSE 60 END] AS w FROM documents), "
+    "t AS (SELECT doc_id, sheet, array_to_string([md5(doc_id || ':' || x)[1:9] for x in w], '') AS text, repeat('ж', CAST(doc_id % 45 + 1 AS INT)) AS f FROM w), "
+    "p AS (SELECT *, length(text) AS n, length(f) AS k, CASE WHEN length(text) + length(f) < 200 THEN text[1:length(text) // 2] || f || text[length(text) // 2 + 1:] ELSE text || f END AS other FROM t), "
+    "near AS (SELECT sheet, md5(text) AS train_md5, md5(other) AS test_md5, 2e0 * n / (2 * n + k) AS ratio FROM p WHERE 2e0 * n / (2 * n + k) >= 0.9e0)"
+)
+
+
+def _hashed(dims: int = 32) -> str:
+    """Signed sums of hashed character trigrams of sentence and span, one after the other."""
+    mod = "2147483647"
+    h = f"((((c[i]::BIGINT * 1000003 + c[i + 1]) % {mod}) * 1000003 + c[i + 2]) % {mod})"
+    return (
+        f"WITH {DOCS}, t AS (SELECT doc_id, sheet, replace(replace(text, '<', ''), '>', '') AS s, nullif(regexp_extract(text, '<(.+?)>', 1), '') AS b FROM docs), "
+        "p AS (SELECT doc_id, sheet, 0 AS part, s AS t FROM t WHERE b IS NOT NULL UNION ALL SELECT doc_id, sheet, 1, b FROM t WHERE b IS NOT NULL), "
+        "codes AS (SELECT doc_id, sheet, part, list_transform(string_split(lower(t), ''), lambda x: unicode(x)) AS c FROM p), "
+        f"g AS (SELECT doc_id, part, ({h} * 48271) % {mod} % {2 * dims} AS slot FROM (SELECT doc_id, part, c, unnest(range(1, len(c) - 1)) AS i FROM codes)), "
+        "sums AS (SELECT doc_id, part, slot // 2 AS d, sum(1 - 2 * (slot % 2)) AS v FROM g GROUP BY 1, 2, 3), "
+        "norms AS (SELECT doc_id, part, sqrt(sum(v * v)) AS r FROM sums GROUP BY 1, 2) "
+        f"SELECT doc_id, sheet, CAST(part * {dims} + d AS INT) AS dim, round(CAST(CAST(coalesce(v / CASE WHEN r > 0 THEN r ELSE 1 END, 0) AS FLOAT) AS DOUBLE), 4) AS value "
+        f"FROM p CROSS JOIN range(0, {dims}) e(d) LEFT JOIN sums USING (doc_id, part, d) LEFT JOIN norms USING (doc_id, part)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     sheet_counts = f"c AS ({counts('scored', 'sheet')})"
     o: dict[str, str] = {
@@ -327,7 +452,7 @@ def oracle_sql() -> dict[str, str]:
         "vocabulary": "WITH e AS (SELECT doc_id, unnest(string_split(replace(replace(text, chr(10), chr(10) || chr(10)), '. ', ' – '), chr(10) || chr(10))) AS entry FROM documents) SELECT doc_id, string_split(entry, ' – ')[1] AS term, CASE WHEN contains(entry, ' – ') THEN substring(entry, length(string_split(entry, ' – ')[1]) + 4) END AS definition FROM e",
         "word_list": "SELECT doc_id, unnest(string_split(text, ', ')) AS term FROM documents",
         "validate_labels": f"WITH {BROKEN} SELECT sheet, row_idx + 2 AS excel_row, 'error' AS severity, code, {where('label')} || CASE WHEN code = 'missing' THEN 'Missing/null value' ELSE 'Invalid value ''' || CAST(label AS VARCHAR) || ''' (should be 0 or 1)' END AS message FROM label_issue WHERE code IS NOT NULL",
-        "validate_text": f"WITH {TEXT_ISSUE}, {NUMBERED.format('text_issue')} SELECT sheet, row_idx + 2 AS excel_row, {SEVERITY} AS severity, code, {where('text')} || CASE code WHEN 'missing' THEN 'Missing/null value' WHEN 'empty' THEN 'Empty text value' WHEN 'no_group' THEN 'No angular bracket group found - ''' || CASE WHEN length(t) > 50 THEN substring(t, 1, 50) || '...' ELSE t END || '''' WHEN 'multiple_groups' THEN 'Multiple angular bracket groups found (' || len(g) || '): ' || {QUOTED} WHEN 'blank_group' THEN 'Empty angular bracket group ''<>''' ELSE 'Long angular bracket group (' || nw || ' words) ''<' || trim(g[1]) || '>''' END AS message FROM numbered WHERE code IS NOT NULL",
+        "validate_text": f"WITH {TEXT_ISSUE}, {NUMBERED.format('text_issue')} SELECT sheet, row_idx + 2 AS excel_row, {SEVERITY} AS severity, code, {where('text')} || {TEXT_MESSAGE} AS message FROM numbered WHERE code IS NOT NULL",
         "validate_pages": r"WITH g AS (SELECT page_id, regexp_extract_all(html, '<([^<>]+)>', 1) AS g FROM pages) SELECT 'pages' AS sheet, page_id + 2 AS excel_row, 'error' AS severity, CASE WHEN len(g) = 0 THEN 'no_group' ELSE 'multiple_groups' END AS code FROM g WHERE len(g) <> 1",
         "validate_numbered": f"WITH {ALL_ISSUES} SELECT severity, row_number() OVER (PARTITION BY severity ORDER BY sheet, section, excel_row) AS issue_no, sheet, \"column\", excel_row, code FROM issues",
         "validation_summary": f"WITH {BROKEN}, {TEXT_ISSUE}, j AS (SELECT b.sheet, s.sheet_ord, b.label, b.code AS lc, t.code AS tc FROM label_issue b JOIN text_issue t USING (doc_id) JOIN sheets s ON s.sheet = b.sheet), a AS (SELECT sheet, CAST(sheet_ord AS INT) AS sheet_ord, count(*) AS total_rows, count(lc) AS label_errors, count(*) FILTER (WHERE tc NOT IN ('blank_group','long_group')) AS text_errors, count(*) FILTER (WHERE tc IN ('blank_group','long_group')) AS warnings, count(label) AS labelled_rows, count(*) FILTER (WHERE label = 0) AS zeros, count(*) FILTER (WHERE label = 1) AS ones FROM j GROUP BY 1, 2) SELECT *, total_rows - text_errors AS valid_texts, label_errors + text_errors AS errors, label_errors + text_errors = 0 AS valid FROM a",
@@ -370,5 +495,42 @@ def oracle_sql() -> dict[str, str]:
         "embedding_sink": "SELECT label, count(*) AS rows, CAST(64 AS INT) AS dims FROM embeddings GROUP BY 1",
         "workbook_ingest": f"WITH {DOCS} SELECT sheet, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE doc_id % 3 = 1) AS ones, CAST(ceil(count(*) / 40.0) AS BIGINT) AS books FROM docs GROUP BY 1",
     }
+    o["ols_fit_eval"] = f"WITH RECURSIVE {OLS}, regr AS (SELECT *, p AS y_pred FROM fitted WHERE is_test) {REPORT_TOTAL}"
+    o["ols_training_quality"] = f"WITH RECURSIVE {OLS}, regr AS (SELECT * FROM fitted WHERE NOT is_test) SELECT count(*) AS n_samples, {r9(MSE)} AS mse, {r9(R2)} AS r2_score FROM regr"
+    o["near_leak_planted"] = f"WITH {PLANTED} SELECT sheet, train_md5, test_md5, {r9('ratio')} AS ratio, 1::BIGINT AS pairs FROM near"
+    o["near_leak_planted_top3"] = (
+        f"WITH {PLANTED}, r AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY ratio DESC, train_md5 DESC, test_md5 DESC) AS rank, count(*) OVER (PARTITION BY sheet) AS n FROM near) "
+        f"SELECT sheet, CAST(rank AS INT) AS rank, {r9('ratio')} AS ratio, train_md5 AS train_text, test_md5 AS test_text, greatest(n - 3, 0) AS more FROM r WHERE rank <= 3"
+    )
+    o["near_leak_planted_verdict"] = f"WITH {PLANTED} SELECT 0::BIGINT AS exact_duplicates, count(*) AS near_duplicates, 'WARN' AS verdict FROM near"
+    o["distinct_texts_sketched"] = f"WITH {DOCS} SELECT sheet, count(DISTINCT text) AS distinct_texts, true AS within_bound FROM docs GROUP BY 1 UNION ALL SELECT 'TOTAL', count(DISTINCT text), true FROM docs"
+    o["metric_hooks_by_sheet"] = (
+        f"WITH {REGR}, c AS (SELECT sheet, count(*) FILTER (y = 1) AS ones, count(*) FILTER (y = 0) AS zeros, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 0 AND p < 0.5) AS tn FROM regr GROUP BY 1), "
+        "w AS (SELECT a.sheet, sum(CASE WHEN a.y_pred > b.y_pred THEN 1e0 WHEN a.y_pred = b.y_pred THEN 5e-1 ELSE 0e0 END) AS won FROM regr a JOIN regr b ON a.sheet = b.sheet AND a.y = 1 AND b.y = 0 GROUP BY 1) "
+        f"SELECT sheet, {r9('(tp / CAST(ones AS DOUBLE) + tn / CAST(zeros AS DOUBLE)) / 2')} AS balanced_accuracy, {r9('won / (CAST(ones AS DOUBLE) * zeros)')} AS rank_statistic FROM c JOIN w USING (sheet)"
+    )
+    o["align_predictions"] = f"WITH {KEYS}, {NUMBERED.format('keys')} SELECT sheet, row_idx, label, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id % 2 AS INT) END AS prediction FROM numbered"
+    o["embed_hashed"] = _hashed()
+    o["logistic_eval"] = _curve("[100]", "")
+    o["learning_curve"] = _curve("[10, 20, 30, 40, 50, 60, 70, 80, 90, 100]", "train_percentage, train_sentences, ")
+    o["ols_normal_equations"] = "SELECT CAST(i AS INT) AS dim, 0e0 AS product FROM range(0, 73) t(i)"
+    o["logistic_gradient"] = "SELECT CAST(10 * s AS INT) AS share, CAST(i AS INT) AS dim, 0e0 AS gradient FROM range(1, 11) a(s), range(0, 65) b(i)"
+    o["verify_files"] = (
+        f"WITH {FILES}, n AS (SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM found) "
+        "SELECT errors = 0 AS valid, (SELECT count(DISTINCT source) FROM documents) AS total_sheets, (SELECT count(DISTINCT source) - 1 FROM documents) AS sheets_processed, "
+        "(SELECT count(*) FROM v) AS total_rows, errors, warnings FROM n"
+    )
+    o["verify_files_sheets"] = (
+        f"WITH {FILES}, n AS (SELECT sheet, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM found GROUP BY 1), "
+        "r AS (SELECT sheet, count(*) AS total_rows, count(lab) AS labelled_rows, count(*) FILTER (lab = '0') AS zeros, count(*) FILTER (lab = '1') AS ones FROM v GROUP BY 1) "
+        "SELECT sheet, sheet <> 'src4' AS readable, coalesce(total_rows, 0) AS total_rows, coalesce(labelled_rows, 0) AS labelled_rows, coalesce(zeros, 0) AS zeros, coalesce(ones, 0) AS ones, "
+        "coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(errors, 0) = 0 AS valid FROM (SELECT DISTINCT source AS sheet FROM documents) LEFT JOIN r USING (sheet) LEFT JOIN n USING (sheet)"
+    )
+    o["verify_files_issues"] = (
+        f"WITH {FILES} SELECT severity, row_number() OVER (PARTITION BY severity ORDER BY sheet, section, row_idx NULLS FIRST, \"column\", message) AS issue_no, "
+        "sheet, \"column\", row_idx + 2 AS excel_row, code, md5(message) AS message_md5 FROM found"
+    )
+    o["evaluate_failed_sheets"] = _failed_sheets()
+    o["evaluate_empty_sheets"] = _empty_sheets()
     o["sink_roundtrip"] = f"SELECT * EXCLUDE (is_total) RENAME (sheet AS sheet_name) FROM ({o['eval_by_sheet_total']})"
     return o

@@ -20,6 +20,7 @@ from sheafline.operators import (
     leakage,
     learning,
     ledger,
+    metric_hooks,
     metrics,
     profile,
     regression,
@@ -28,7 +29,7 @@ from sheafline.operators import (
     tokens,
     validate,
 )
-from sheafline.plans import catalogue, evaluation, views
+from sheafline.plans import catalogue, evaluation, verification, views
 from sheafline.session import parallelism, scratch_dir, ship_package
 from sheafline.sources import corpus as corpus_source
 from sheafline.sources import sinks, workbook
@@ -212,6 +213,33 @@ def distinct_texts(spark, sf):
     return profile.distinct_texts(views.documents(spark, sf), ["sheet"])
 
 
+@query
+def distinct_texts_sketched(spark, sf):
+    """Sketches per sheet, stored, read and merged into a total; within 4 % of the exact counts."""
+    docs = views.documents(spark, sf)
+    path = scratch_dir(spark)
+    profile.text_sketches(docs, ["sheet"]).write.parquet(path)
+    stored = spark.read.parquet(path)
+    total = F.lit("TOTAL").alias("sheet")
+    guess = profile.merged_estimates(stored, ["sheet"]).unionByName(profile.merged_estimates(stored, []).withColumn("sheet", total))
+    everything = profile.distinct_texts(docs, []).withColumn("sheet", total)
+    exact = profile.distinct_texts(docs, ["sheet"]).unionByName(everything)
+    both = exact.join(guess.withColumnRenamed("distinct_texts", "estimate"), "sheet")
+    near = F.abs(F.col("estimate") - F.col("distinct_texts")) <= 0.04 * F.col("distinct_texts")
+    return both.select("sheet", "distinct_texts", near.alias("within_bound"))
+
+
+@query
+def metric_hooks_by_sheet(spark, sf):
+    """Balanced accuracy and a rank statistic as metrics of the user's own."""
+    rows = views.regression_rows(spark, sf).select(
+        "sheet", "y_true", F.col("y_pred").cast("double").alias("score"), (F.col("y_pred") >= 0.5).cast("int").alias("y_bin")
+    )
+    accuracy = metric_hooks.grouped_metrics(rows, ["sheet"], ["y_true", "y_bin"], {"balanced_accuracy": metric_hooks.BalancedAccuracy()})
+    ranks = metric_hooks.grouped_metrics(rows, ["sheet"], ["y_true", "score"], {"rank_statistic": metric_hooks.RankStatistic()})
+    return rounded(accuracy.join(ranks, "sheet"))
+
+
 @query
 def head_rows(spark, sf):
     return profile.head_rows(views.documents(spark, sf), ["doc_id"], 3)
@@ -453,6 +481,50 @@ def header_check(spark, sf):
     )
 
 
+def _written_sheets(spark: SparkSession, sf: str) -> str:
+    """The corpus as CSV folders, one per sheet: src3 lacks its label column, src4 has no header, the
+    other sheets have their columns in either order. Files follow the order of the documents."""
+    path = scratch_dir(spark)
+    rows = views.documents(spark, sf).withColumn("label", _text_label())
+    rows = rows.repartitionByRange("sheet", "doc_id").sortWithinPartitions("sheet", "doc_id")
+    odd = F.col("sheet").isin(["src3", "src4"])
+    # wide enough for any quoting: escapes double the quote, and line breaks stay inside quotes
+    options = {"header": True, "quoteAll": True, "escape": '"', "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    some = rows.filter(~odd & (F.crc32(F.col("sheet").cast("binary")) % 2 == 0))
+    some.select("sheet", "text", "label").write.partitionBy("sheet").options(**options).csv(path)
+    rest = rows.filter(~odd & (F.crc32(F.col("sheet").cast("binary")) % 2 == 1))
+    rest.select("sheet", "doc_id", "label", "text").write.partitionBy("sheet").options(**options).mode("append").csv(path)
+    lacking = rows.filter(F.col("sheet") == "src3").select("sheet", "doc_id", "text")
+    lacking.write.partitionBy("sheet").options(**options).mode("append").csv(path)
+    bare = rows.filter(F.col("sheet") == "src4").select("sheet", F.lit("1").alias("text"), F.lit("x").alias("label")).limit(0)
+    bare.drop("sheet").write.options(**{**options, "header": False}).csv(f"{path}/sheet=src4")
+    return path
+
+
+def _text_label() -> Column:
+    """Labels as a sheet holds them: numbers, words, blanks."""
+    d = F.col("doc_id")
+    return F.when(d % 29 == 0, "2").when(d % 31 == 0, "yes").when(d % 37 == 0, F.lit(None)).otherwise((d % 2).cast("string"))
+
+
+@query
+def verify_files(spark, sf):
+    """The verdict on all files of a folder."""
+    return verification.verify_files(spark, _written_sheets(spark, sf)).verdict
+
+
+@query
+def verify_files_sheets(spark, sf):
+    return verification.verify_files(spark, _written_sheets(spark, sf)).sheets.drop("sheet_ord")
+
+
+@query
+def verify_files_issues(spark, sf):
+    """All messages in report order, by their digest."""
+    out = verification.verify_files(spark, _written_sheets(spark, sf)).issues
+    return out.select("severity", "issue_no", "sheet", "column", "excel_row", "code", F.md5("message").alias("message_md5"))
+
+
 # ---- budget and splits ------------------------------------------------------------------------
 
 
@@ -585,6 +657,42 @@ def near_leak_sentences(spark, sf):
     return leakage.near_duplicates(lines(train), lines(test), ["sheet"])
 
 
+def _planted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Texts of which each has exactly one relative: words become digests that depend on the document,
+    and the test text has characters that occur nowhere else, at its end or, if short, in its middle."""
+    docs = views.table(spark, sf, "documents").select("doc_id", F.col("source").alias("sheet"), F.split("text", r"\s+").alias("w"))
+    kept = F.slice("w", 1, F.when(F.col("doc_id") % 2 == 0, 14).otherwise(60))
+    text = F.array_join(F.transform(kept, lambda x: F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), x)), 1, 9)), "")
+    docs = docs.select("doc_id", "sheet", text.alias("text"))
+    foreign = F.repeat(F.lit("ж"), (F.col("doc_id") % 45 + 1).cast("int"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    middle = F.concat(F.substring("text", 1, half), foreign, F.substring("text", half + 1, F.length("text")))
+    short = F.length("text") + F.length(foreign) < leakage.HEURISTIC_LENGTH
+    return docs, docs.withColumn("text", F.when(short, middle).otherwise(F.concat("text", foreign)))
+
+
+@query
+def near_leak_planted(spark, sf):
+    """Each document's text against itself with 1 to 45 foreign characters: ratio 2n / (2n + k)."""
+    near = leakage.near_duplicates(*_planted(spark, sf), ["sheet"])
+    digests = (F.md5("train_text").alias("train_md5"), F.md5("test_text").alias("test_md5"))
+    return rounded(near.select("sheet", *digests, "ratio", "pairs"))
+
+
+@query
+def near_leak_planted_top3(spark, sf):
+    near = leakage.near_duplicates(*_planted(spark, sf), ["sheet"])
+    best = leakage.top_pairs(near.withColumns({"train_text": F.md5("train_text"), "test_text": F.md5("test_text")}), ["sheet"])
+    return rounded(best)
+
+
+@query
+def near_leak_planted_verdict(spark, sf):
+    train, test = _planted(spark, sf)
+    near = leakage.near_duplicates(train, test, ["sheet"])
+    return leakage.leak_verdict(leakage.exact_duplicates(train, test, ["sheet"]), near)
+
+
 # ---- tokens -----------------------------------------------------------------------------------
 
 
@@ -743,6 +851,17 @@ def score_hook(spark, sf):
     return scored.select("doc_id", "ai_label", "ai_reply", "error")
 
 
+@query
+def align_predictions(spark, sf):
+    """Predictions of another system, joined by sheet and row from bucketed tables."""
+    name = "t" + scratch_dir(spark).rsplit("/", 1)[-1]
+    rows = views.keys(spark, sf, row_idx=True)
+    scoring.save_bucketed(rows.select("sheet", "row_idx", "label"), f"{name}_corpus", 8)
+    told = rows.filter("doc_id % 3 <> 0").select("sheet", "row_idx", (F.col("doc_id") % 2).cast("int").alias("prediction"))
+    scoring.save_bucketed(told, f"{name}_told", 8)
+    return scoring.align_predictions(spark.table(f"{name}_corpus"), spark.table(f"{name}_told"))
+
+
 @query
 def score_errors(spark, sf):
     scored = scoring.score(views.documents(spark, sf), fragile_scorer, partitions=parallelism(spark))
@@ -768,6 +887,28 @@ def evaluate_end_to_end(spark, sf):
     return result.report.drop("sheet_ord")
 
 
+@query
+def evaluate_failed_sheets(spark, sf):
+    """Labels as text: a sheet with one that is no number among its rows to process fails, and leaves
+    its budget to the sheets after it."""
+    rows = views.corpus(spark, sf)
+    label = F.when(F.col("doc_id") % 211 == 5, F.lit("n/a")).otherwise(F.col("label").cast("string"))
+    result = evaluation.evaluate_corpus(rows.withColumn("label", label), length_scorer, max_per_sheet=30, max_total=400)
+    return result.report.drop("sheet_ord")
+
+
+@query
+def evaluate_empty_sheets(spark, sf):
+    """Sheets that are named but have no rows, and one that could not be read."""
+    langs = views.table(spark, sf, "documents").select(F.concat(F.lit("empty-"), "lang").alias("sheet")).distinct()
+    rows = views.corpus(spark, sf)
+    failed = rows.filter(F.col("sheet") == FAILED_SHEET).select("sheet", "sheet_ord").distinct()
+    result = evaluation.evaluate_corpus(
+        rows, length_scorer, max_per_sheet=30, max_total=400, failed_sheets=failed, sheets=langs.withColumn("sheet_ord", F.lit(0))
+    )
+    return result.report.drop("sheet_ord")
+
+
 # ---- embeddings and models --------------------------------------------------------------------
 
 
@@ -791,7 +932,8 @@ def embed_compound(spark, sf):
 def embed_hashed(spark, sf):
     docs = views.documents(spark, sf).withColumn("label", F.lit(1))
     rows = embedding.compound_embedding(embedding.clean_corpus(docs), dims=32, partitions=parallelism(spark))
-    return rows.select("doc_id", "sheet", "embedding")
+    shown = F.transform("embedding", lambda x: F.round(x.cast("double"), 4))
+    return rows.select("doc_id", "sheet", F.posexplode(shown).alias("dim", "value"))
 
 
 @query
@@ -809,26 +951,47 @@ def wide_embeddings(spark, sf):
 def ols_fit_eval(spark, sf):
     """Least squares on the train rows, 20-column report of the test rows with TOTAL."""
     rows = learning.with_features(views.feature_rows(spark, sf))
-    model = learning.fit_ols(rows.filter(~F.col("is_test")), 64)
-    return regression.category_report(learning.predict_ols(model, rows.filter("is_test")), total=True)
+    model = learning.fit_ols(rows.filter(~F.col("is_test")))
+    return rounded(regression.category_report(learning.predict_ols(model, rows.filter("is_test")), total=True))
 
 
 @query
 def ols_training_quality(spark, sf):
+    """Quality on the training rows of a model that was written and read again."""
     rows = learning.with_features(views.feature_rows(spark, sf)).filter(~F.col("is_test"))
     path = f"{scratch_dir(spark)}/model"
-    learning.save_model(learning.fit_ols(rows, 64), path)
-    return learning.fit_quality(learning.load_ols(path), rows)
+    learning.save_model(spark, learning.fit_ols(rows), path)
+    quality = learning.fit_quality(learning.load_model(spark, path), rows)
+    return quality.select("n_samples", *(F.round(c, 9).alias(c) for c in ("mse", "r2_score")))
+
+
+@query
+def ols_normal_equations(spark, sf):
+    """Residuals are orthogonal to every dimension, also where a dimension repeats another one."""
+    twice = F.concat("embedding", F.slice("embedding", 1, 8)).alias("embedding")
+    rows = views.feature_rows(spark, sf).filter(~F.col("is_test")).select("label", twice)
+    rows = learning.with_features(rows)
+    out = learning.residual_products(learning.fit_ols(rows), rows)
+    return out.select("dim", F.abs(F.round("product", 6)).alias("product"))
 
 
 @query
 def logistic_eval(spark, sf):
-    rows = learning.with_features(views.feature_rows(spark, sf)).persist()
-    train = rows.filter(~F.col("is_test"))
-    model = learning.fit_logistic(train, train.count())
+    rows = learning.with_features(views.feature_rows(spark, sf))
+    model = learning.fit_logistic(rows.filter(~F.col("is_test")))
     return learning.evaluate_logistic(model, rows.filter("is_test"))
 
 
+@query
+def logistic_gradient(spark, sf):
+    """The gradient of every share's objective at its fit: 0 in all dimensions."""
+    rows = learning.with_features(views.feature_rows(spark, sf)).filter(~F.col("is_test"))
+    shares = learning.nested_shares(rows, "vec_id")
+    models = learning.fit_logistic_shares(shares, list(learning.PERCENTS))
+    out = learning.share_gradients(models, shares)
+    return out.select("share", "dim", F.abs(F.round("gradient", 5)).alias("gradient"))
+
+
 @query
 def learning_curve(spark, sf):
     rows = learning.with_features(views.feature_rows(spark, sf))

@@ -165,31 +165,73 @@ def test_ols_equals_numpy(spark):
     x, y, df = features(spark, 120, 5)
     a = np.c_[x, np.ones(len(x))]
     want = a @ np.linalg.lstsq(a, y, rcond=None)[0]
-    model = learning.fit_ols(df, 5)
+    model = learning.fit_ols(df)
     got = np.array([r["y_pred"] for r in sorted(learning.predict_ols(model, df).collect(), key=lambda r: r["id"])])
     assert np.allclose(got, want, atol=1e-8)
     quality = learning.fit_quality(model, df).first()
     assert math.isclose(quality["mse"], ((want - y) ** 2).mean(), rel_tol=1e-9)
     path = scratch_dir(spark)
-    learning.save_model(model, path)
-    assert np.allclose(learning.load_ols(path).coefficients, model.coefficients)
+    learning.save_model(spark, model, path)
+    assert np.array_equal(learning.load_model(spark, path).coefficients, model.coefficients)
+    assert max(abs(r["product"]) for r in learning.residual_products(model, df).collect()) < 1e-9
 
 
-def test_minimum_norm(spark):
+def least_norm(x, y):
+    w = np.linalg.lstsq(x - x.mean(axis=0), y - y.mean(), rcond=1e-10)[0]
+    return w, y.mean() - x.mean(axis=0) @ w
+
+
+def test_least_norm_of_many_solutions(spark, monkeypatch):
+    """More dimensions than rows, repeated dimensions, a constant one and vectors far from zero; the
+    partial sums of forty tasks are put together in two levels."""
+    monkeypatch.setattr(learning, "FAN", 4)
     x, y, df = features(spark, 8, 20)
-    model = learning.fit_ols(df, 20, min_norm=True)
-    centred = x - x.mean(axis=0)
-    want = np.linalg.lstsq(centred, y - y.mean(), rcond=None)[0]
-    assert np.allclose(model.coefficients.toArray(), want, atol=1e-3)
+    model = learning.fit_ols(df)
+    want, intercept = least_norm(x, y)
+    assert np.allclose(model.coefficients, want, atol=1e-9) and math.isclose(model.intercept, intercept, abs_tol=1e-9)
+    x, y, _ = features(spark, 90, 3)
+    wide = np.column_stack([x + 1000, x[:, 0], np.full(len(x), 5.0), x[:, 1] * 2])
+    rows = [(wide[i].tolist(), float(y[i])) for i in range(len(x))]
+    df = spark.createDataFrame(rows, "features array<double>, label double").repartition(40)
+    model = learning.fit_ols(df)
+    want, intercept = least_norm(wide, y)
+    assert np.allclose(model.coefficients, want, atol=1e-7)
+    assert max(abs(r["product"]) for r in learning.residual_products(model, df).collect()) < 1e-6
+
+
+def test_fits_refuse_what_they_cannot_use(spark):
+    with pytest.raises(ValueError):
+        learning.fit_ols(spark.createDataFrame([], "features array<double>, label double"))
+    model = learning.LinearModel(np.array([1.0, 2.0]), 0.5)
+    df = spark.createDataFrame([([1.0, 1.0],), (None,)], "features array<double>")
+    assert [r[0] for r in df.select(model.margin()).collect()] == [3.5, None]
+    with pytest.raises(Exception, match="expected 2 dimensions, found 1"):
+        spark.createDataFrame([([1.0],)], "features array<double>").select(model.margin()).collect()
 
 
 def test_logistic_gradient_is_zero(spark):
     """At the optimum of the C = 1 objective the gradient vanishes."""
     x, y, df = features(spark, 150, 4)
-    model = learning.fit_logistic(df, 150)
-    w, b = model.coefficients.toArray(), model.intercept
+    model = learning.fit_logistic(df)
+    w, b = model.coefficients, model.intercept
     p = 1 / (1 + np.exp(-(x @ w + b)))
-    assert np.abs(w + x.T @ (p - y)).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+    assert np.abs(w + x.T @ (p - y)).max() < 1e-6 and abs((p - y).sum()) < 1e-6
+
+
+def test_shares_are_fitted_together(spark):
+    """Each share's model is the one of its rows alone; a share of one class predicts it."""
+    x, y, df = features(spark, 120, 3)
+    y[:5] = 1.0
+    rows = [(x[i].tolist(), float(y[i]), 10 if i < 5 else 50 if i < 60 else 100) for i in range(120)]
+    df = spark.createDataFrame(rows, "features array<double>, label double, from_percent int").repartition(7)
+    models = learning.fit_logistic_shares(df, [5, 10, 50, 100])
+    assert {s: n for s, (_, n) in models.items()} == {10: 5, 50: 60, 100: 120}
+    assert models[10][0].intercept == learning.CERTAIN
+    for share in (50, 100):
+        alone = learning.fit_logistic(df.filter(F.col("from_percent") <= share))
+        assert np.allclose(models[share][0].coefficients, alone.coefficients, atol=1e-8)
+    gradients = learning.share_gradients({s: m for s, m in models.items() if s > 10}, df).collect()
+    assert len(gradients) == 8 and max(abs(r["gradient"]) for r in gradients) < 1e-6
 
 
 def test_learning_curve(spark):
