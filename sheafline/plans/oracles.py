@@ -490,13 +490,20 @@ def oracle_sql() -> dict[str, str]:
         "evaluate_end_to_end": _end_to_end(),
         "embed_compound": f"WITH {DOCS}, c AS (SELECT doc_id, replace(replace(text, '<', ''), '>', '') AS s, nullif(regexp_extract(text, '<(.+?)>', 1), '') AS b FROM docs) SELECT doc_id, concat_ws(',', length(s), length(s) - length(replace(s, ' ', '')), length(s) - length(replace(s, 'e', '')), length(b), length(b) - length(replace(b, ' ', '')), length(b) - length(replace(b, 'e', ''))) AS embedding FROM c WHERE b IS NOT NULL",
         "wide_embeddings": "SELECT vec_id, label, CAST(len(embedding) AS INT) AS dims, " + ", ".join(f"round(CAST(embedding[{i + 1}] AS DOUBLE), 6) AS emb_{i}" for i in range(64)) + " FROM embeddings",
-        "split_sink": f"SELECT split, sheet, count(*) AS rows FROM ({balanced('sheet')}) WHERE split <> 'dropped' GROUP BY 1, 2",
-        "report_sink": f"WITH {REGR}, t AS ({REPORT_TOTAL}) SELECT sheet, n_samples, n_label_0, n_label_1 FROM t",
-        "embedding_sink": "SELECT label, count(*) AS rows, CAST(64 AS INT) AS dims FROM embeddings GROUP BY 1",
         "workbook_ingest": f"WITH {DOCS} SELECT sheet, count(*) AS rows, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (WHERE doc_id % 3 = 1) AS ones, CAST(ceil(count(*) / 40.0) AS BIGINT) AS books FROM docs GROUP BY 1",
     }
     o["ols_fit_eval"] = f"WITH RECURSIVE {OLS}, regr AS (SELECT *, p AS y_pred FROM fitted WHERE is_test) {REPORT_TOTAL}"
     o["ols_training_quality"] = f"WITH RECURSIVE {OLS}, regr AS (SELECT * FROM fitted WHERE NOT is_test) SELECT count(*) AS n_samples, {r9(MSE)} AS mse, {r9(R2)} AS r2_score FROM regr"
+    o["scored_sink"] = f"WITH {SCORED}, {DOCS} SELECT s.doc_id, s.sheet, s.label, s.ai_label, {reply()} AS ai_reply, md5(d.text) AS text_md5 FROM scored s JOIN (SELECT doc_id AS id, text FROM docs) d ON d.id = s.doc_id"
+    o["split_sink"] = f"WITH {DOCS} SELECT split, b.sheet, b.doc_id, b.label, md5(text) AS text_md5 FROM ({balanced('sheet')}) b JOIN docs d ON d.doc_id = b.doc_id WHERE split <> 'dropped'"
+    o["report_sink"] = f"WITH {REGR}, t AS ({REPORT_TOTAL}) SELECT * EXCLUDE (is_total) FROM t"
+    o["embedding_sink"] = "SELECT label, CAST(i AS INT) AS dim, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS value FROM embeddings, range(0, 64) t(i)"
+    o["tokenizer_hook"] = f"WITH {TOKENS} SELECT conv_id, turn, array_to_string(ids, ',') AS input_ids, CAST(len(ids) AS INT) AS size FROM toks"
+    o["union_sheets"] = (
+        "SELECT doc_id, lang AS sheet, CASE WHEN lang = 'en' THEN quality END AS label, CASE WHEN lang = 'de' THEN 'n' || doc_id END AS note, "
+        "CASE WHEN lang = 'fr' THEN n_chars END AS n_chars FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IN ('en', 'de', 'fr', 'es')"
+    )
+    o["run_ledger_stamped"] = f"WITH g AS (SELECT CAST(user_id % 50 AS INT) AS iteration, round(CAST(max(value) AS DOUBLE), 3) AS tl FROM events GROUP BY 1) SELECT 'lora' AS mode, iteration, {rnd('tl', 4)} AS train_loss, true AS stamped FROM g"
     o["near_leak_planted"] = f"WITH {PLANTED} SELECT sheet, train_md5, test_md5, {r9('ratio')} AS ratio, 1::BIGINT AS pairs FROM near"
     o["near_leak_planted_top3"] = (
         f"WITH {PLANTED}, r AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY ratio DESC, train_md5 DESC, test_md5 DESC) AS rank, count(*) OVER (PARTITION BY sheet) AS n FROM near) "

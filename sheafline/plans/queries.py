@@ -5,7 +5,9 @@ Arrays and nested values are shown as text, so that results compare across engin
 
 from __future__ import annotations
 
+import datetime
 import functools
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -332,8 +334,9 @@ def reply_json(spark, sf):
 def reply_unwrap(spark, sf):
     """Last message of a generated conversation."""
     turns = views.table(spark, sf, "conversations")
-    message = F.struct("turn", "role", F.col("text").alias("content"))
-    convs = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("messages"))
+    # the last message alone is gathered, not the conversation
+    last = F.max_by(F.struct("role", F.col("text").alias("content")), "turn")
+    convs = turns.groupBy("conv_id").agg(F.array(last).alias("messages"))
     return convs.select("conv_id", tx.unwrap_reply("messages").alias("reply"))
 
 
@@ -712,6 +715,37 @@ def token_table(spark, sf):
     )
 
 
+def word_length_tokenizer() -> tokens.Tokenizer:
+    """Tokenizer of the user's own: the length of each word."""
+    return lambda texts: [[len(w) for w in re.split(r"\s+", t.strip()) if w] for t in texts]
+
+
+@query
+def tokenizer_hook(spark, sf):
+    """Training examples through a tokenizer that runs in Python."""
+    turns = views.table(spark, sf, "conversations").withColumn("label", (F.col("turn") % 2).cast("int"))
+    rows = tokens.training_examples(turns, catalogue.prompt_text(1), tokenizer=word_length_tokenizer)
+    return rows.select("conv_id", "turn", joined("input_ids").alias("input_ids"), F.size("attention_mask").alias("size"))
+
+
+@query
+def union_sheets(spark, sf):
+    """All rows of sheets with different columns; what a sheet lacks is null."""
+    docs = views.table(spark, sf, "documents")
+    labels = views.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+
+    def sheet(lang: str) -> DataFrame:
+        return docs.filter(F.col("lang") == lang).select("doc_id", F.lit(lang).alias("sheet"))
+
+    frames = [
+        sheet("en").join(labels, "doc_id", "left"),
+        sheet("de").withColumn("note", F.concat(F.lit("n"), F.col("doc_id").cast("string"))),
+        sheet("fr").join(docs.select("doc_id", "n_chars"), "doc_id"),
+        sheet("es"),
+    ]
+    return corpus_source.union_sheets(frames)
+
+
 @query
 def left_pad(spark, sf):
     padded = tokens.left_padded(_turn_tokens(spark, sf), ["conv_id"])
@@ -799,6 +833,22 @@ def continued_iterations(spark, sf):
     return ledger.continued_iterations(p, 3).select("p_partkey", "i", "iteration", "name")
 
 
+@query
+def run_ledger_stamped(spark, sf):
+    """Runs without a time of their own get that of the append."""
+    ev = views.table(spark, sf, "events")
+    path = f"{scratch_dir(spark)}/ledger"
+    runs = ev.groupBy((F.col("user_id") % 50).cast("int").alias("iteration")).agg(F.max("value").cast("double").alias("train_loss"))
+    records = runs.select(
+        F.lit("lora").alias("mode"), "iteration", F.lit(1).alias("epochs"), F.round("train_loss", 3).alias("train_loss"),
+        F.lit(None).cast("double").alias("eval_loss"), F.lit(None).cast("double").alias("eval_accuracy"), F.lit("run").alias("path"),
+    )
+    began = F.lit(datetime.datetime.now(datetime.timezone.utc) - datetime.timedelta(seconds=1)).cast("timestamp")
+    ledger.append_run(records, path)
+    stamped = (F.col("timestamp") >= began) & (F.col("timestamp") <= F.current_timestamp())
+    return ledger.read_ledger(spark, path).select("mode", "iteration", "train_loss", stamped.alias("stamped"))
+
+
 @query
 def run_ledger(spark, sf):
     """Two appends to a ledger table, read back in order; losses come from the events."""
@@ -1014,32 +1064,46 @@ def sink_roundtrip(spark, sf):
     return spark.read.schema(header).option("sep", ";").option("header", True).csv(f"{base}/metrics")
 
 
+@query
+def scored_sink(spark, sf):
+    """Scored rows with their texts, written by sheet and read back."""
+    path = f"{scratch_dir(spark)}/scored"
+    texts = views.documents(spark, sf).select("doc_id", "text")
+    sinks.write_scored(views.scored_keys(spark, sf).join(texts, "doc_id"), path)
+    back = spark.read.parquet(path)
+    return back.select("doc_id", "sheet", "label", "ai_label", "ai_reply", F.md5("text").alias("text_md5"))
+
+
 @query
 def split_sink(spark, sf):
-    base = scratch_dir(spark)
+    """Whole rows of both splits, written and read back."""
+    path = f"{scratch_dir(spark)}/splits"
     marked = split.balanced_split(views.keys(spark, sf), "doc_id", seed=SEED)
-    sinks.write_splits(marked, f"{base}/splits")
-    return spark.read.parquet(f"{base}/splits").groupBy("split", "sheet").agg(F.count(F.lit(1)).alias("rows"))
+    sinks.write_splits(marked.join(views.documents(spark, sf).select("doc_id", "text"), "doc_id"), path)
+    return spark.read.parquet(path).select("split", "sheet", "doc_id", "label", F.md5("text").alias("text_md5"))
 
 
 @query
 def report_sink(spark, sf):
-    base = scratch_dir(spark)
+    """All columns of the report, written as CSV and read back."""
+    path = f"{scratch_dir(spark)}/report"
     report = regression.category_report(views.regression_rows(spark, sf), total=True)
-    sinks.write_report_csv(report, f"{base}/report")
-    back = spark.read.option("header", True).csv(f"{base}/report")
-    return back.select("sheet", *[F.col(c).cast("long").alias(c) for c in ("n_samples", "n_label_0", "n_label_1")])
+    sinks.write_report_csv(report, path)
+    kinds = {c: t for c, t in report.dtypes if c in regression.REPORT_COLUMNS}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in regression.REPORT_COLUMNS)
+    return rounded(spark.read.option("header", True).schema(schema).csv(path))
 
 
 @query
 def embedding_sink(spark, sf):
+    """All components, written as vectors and as a wide CSV, and read back."""
     base = scratch_dir(spark)
     e = views.table(spark, sf, "embeddings").withColumn("sheet", F.lit("all"))
     sinks.write_embeddings(e, f"{base}/vectors")
     sinks.write_wide_embeddings(corpus_source.read_embeddings(spark, f"{base}/vectors"), f"{base}/wide", 64)
     back = corpus_source.read_wide_embeddings(spark, f"{base}/wide", 64, "sheet string, label int")
-    sized = back.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("dims"))
-    return sized
+    values = back.select("label", F.posexplode("embedding").alias("dim", "value"))
+    return values.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
 @query
