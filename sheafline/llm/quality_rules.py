@@ -6,9 +6,9 @@ most ``risk`` of the good documents. The tests of a rule are taken from the most
 downwards and end at the first failure (fixed-sequence testing), and the level is divided among
 strata and rules (Bonferroni), so with probability ``1 - level`` every cutoff keeps its promise; the
 risks of the rules add up to ``risk``. A stratum has only cutoffs that its own test certifies: with too
-few labels, or none, it has no cutoff, and only the base conditions reject there. The SQL of the query
-op10 lends small strata the cutoffs of all documents together instead (``pooled_below``), which promises
-nothing for the small stratum itself.
+few labels, or none, it has no cutoff, and only the base conditions reject there. The option
+``pooled_below`` lends small strata the cutoffs of all documents together, which promises nothing for
+the small stratum itself; no query and no stage uses it.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ GRIDS: Mapping[str, Sequence[float]] = {
     "repeats_per_word": (0.5, 0.45, 0.4, 0.35, 0.3),
     "duplicate_lines": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
 }
-#: With five rules and five strata, no rejection among 320 good documents proves a risk of 0.02; strata
-#: with fewer get pooled cutoffs in the SQL of op10, and only there.
+#: With five rules and five strata, no rejection among 320 good documents proves a risk of 0.02: a size
+#: for ``pooled_below``.
 RISK, LEVEL, MIN_GOOD = 0.10, 0.05, 320
 
 
@@ -276,31 +276,43 @@ def judged(
     own_columns = [c for c in ruled.columns if c.startswith(prefix)]
     ruled = materialize(ruled.select(*(carry or df.columns), *own_columns))
     cuts = materialize(risk_cutoffs(ruled, labels, stratum, prefix, grids, **options))
+    return _judge(ruled, cuts, stratum, prefix, grids)
+
+
+def _judge(ruled: DataFrame, cuts: DataFrame, stratum: str, prefix: str, grids: Mapping[str, Sequence[float]]) -> DataFrame:
+    """``ruled`` and ``<prefix>kept``, by the cutoffs of the row's stratum (one small row each)."""
     own = cuts.filter("not is_default").select(
-        F.col("stratum").alias("_stratum"), F.lit(True).alias("_has"), *(F.col(r).alias(f"_own_{r}") for r in grids)
+        F.col("stratum").alias(f"{prefix}stratum"),
+        F.lit(True).alias(f"{prefix}has"),
+        *(F.col(r).alias(f"{prefix}own_{r}") for r in grids),
     )
     # without pooled cutoffs one row of nulls
-    rest = cuts.filter("is_default").agg(*(F.first(r).alias(f"_all_{r}") for r in grids))
-    joined = ruled.join(own, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").join(rest)
+    rest = cuts.filter("is_default").agg(*(F.first(r).alias(f"{prefix}all_{r}") for r in grids))
+    joined = ruled.join(own, F.col(stratum).eqNullSafe(F.col(f"{prefix}stratum")), "left").join(rest)
     above = F.lit(False)
     for r in grids:
-        cut = F.when(F.col("_has"), F.col(f"_own_{r}")).otherwise(F.col(f"_all_{r}"))
+        cut = F.when(F.col(f"{prefix}has"), F.col(f"{prefix}own_{r}")).otherwise(F.col(f"{prefix}all_{r}"))
         above = above | F.coalesce(F.col(prefix + r) > cut, F.lit(False))
     return joined.select(*ruled.columns, (~(F.col(f"{prefix}base_failed") | above)).alias(f"{prefix}kept"))
 
 
-def kept_documents(df: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", **options) -> DataFrame:
+def kept_documents(
+    df: DataFrame,
+    labels: DataFrame,
+    stratum: str = "lang",
+    text: str = "text",
+    prefix: str = "_q_",
+    grids: Mapping[str, Sequence[float]] = GRIDS,
+    **options,
+) -> DataFrame:
     """The rows of ``df``, all columns, that :func:`judged` keeps.
 
-    The judgement depends on the row's text and stratum, so rows are matched by their id and a hash
-    of id, text and stratum; what is written and compared are the rejected rows' keys, not texts.
-    The column name ``_row_key`` is taken by the match.
+    Two passes over the texts and no join of texts: the first writes the rules' numbers, from which
+    the cutoffs come; the second judges every row where it is read. Repeated rows and ids are judged
+    row by row; null texts are rejected; an empty table stays empty. No column may start with ``prefix``.
     """
-    if "_row_key" in df.columns:
-        raise ValueError("the column name _row_key is taken by the match")
-    keyed = df.withColumn("_row_key", F.xxhash64("doc_id", text, stratum))
-    narrow = keyed.select("doc_id", stratum, text, "_row_key")
-    out = judged(narrow, labels, stratum, text, carry=("doc_id", stratum, "_row_key"), **options)
-    rejected = materialize(out.filter("not _q_kept").select(F.col("doc_id").alias("_id"), F.col("_row_key").alias("_key")).distinct())
-    same = (F.col("_row_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return keyed.join(rejected, same, "left_anti").drop("_row_key")
+    numbers = _with_rules(df.select("doc_id", stratum, text), text, prefix).drop(text)
+    cuts = materialize(risk_cutoffs(materialize(numbers), labels, stratum, prefix, grids, **options))
+    # a filter is not pushed below a column that is not deterministic: the rules stay computed once a row
+    ruled = _with_rules(df, text, prefix).withColumn(f"{prefix}row", F.monotonically_increasing_id())
+    return _judge(ruled, cuts, stratum, prefix, grids).filter(F.col(f"{prefix}kept") & (F.col(f"{prefix}row") >= 0)).select(*df.columns)
