@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheafline.llm.words import n_words, order_hash
+from sheafline.llm.words import free_name, n_words, order_hash
 from sheafline.session import materialize
 
 #: (time, weight) knots from time 0 to 1, straight lines between them.
@@ -100,10 +100,21 @@ def mix(
     sizes are interchangeable. Null ids and sources are allowed. The result is range-sorted by the
     first position. Other columns are not read.
     """
+    return _planned(documents, weights, share, most_repeats, schedules).drop("text_key")
+
+
+def _planned(
+    documents: DataFrame,
+    weights: Sequence[int] = WEIGHTS,
+    share: float = 1.5,
+    most_repeats: float = 2.0,
+    schedules: Sequence[Schedule] = SCHEDULES,
+) -> DataFrame:
+    """:func:`mix` with a hash of the row's text, ``text_key``."""
     if len(schedules) != len(weights):
         raise ValueError("one schedule per weight is needed")
     docs = materialize(
-        documents.select("doc_id", "source", n_words(F.col("text")).alias("size"))
+        documents.select("doc_id", "source", F.xxhash64("text").alias("text_key"), n_words(F.col("text")).alias("size"))
         .withColumn("hash", order_hash(F.col("doc_id")))
         .withColumn("range", F.shiftright("hash", 60 - RANGES_BITS))
     )
@@ -118,7 +129,7 @@ def mix(
     )
     within = (
         Window.partitionBy("source", "range")
-        .orderBy("hash", "doc_id", "size")
+        .orderBy("hash", "doc_id", "size", "text_key")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     s, t = starts.drop("words").alias("s"), targets.alias("t")
@@ -127,7 +138,7 @@ def mix(
         .alias("d")
         .join(s, F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range")))
         .join(t, F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("d.doc_id", "d.source", "d.size", "t.*", (F.col("range_start") + F.col("earlier")).alias("start"))
+        .select("d.doc_id", "d.source", "d.text_key", "d.size", "t.*", (F.col("range_start") + F.col("earlier")).alias("start"))
         .drop(F.col("t.source"))
     )
     partly = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("start")))
@@ -147,7 +158,7 @@ def mix(
         "positions", F.transform(F.concat(whole, last), time)
     )
     return (
-        out.select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
+        out.select("doc_id", "source", "text_key", "size", "source_size", "target", "taken", "positions")
         .withColumn("first", F.get("positions", F.lit(0)))
         .repartitionByRange(F.col("first").asc_nulls_last(), "doc_id")
         .sortWithinPartitions(F.col("first").asc_nulls_last(), "doc_id")
@@ -160,22 +171,24 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
 
     A document appears once per pass that takes it; a pass that takes a part of it (one per source)
     counts if it takes half of the words or more. Documents that no pass takes are left out. Rows
-    are matched by ``doc_id`` (null included); rows that repeat an id all follow the plan of the
-    first of them.
+    are matched by id, source and a hash of the text (nulls included); rows that repeat all three
+    follow the plan of the first of them. The names of other columns do not matter; an empty table
+    gives an empty stream.
     """
-    if "_position" in documents.columns:
-        raise ValueError("the column name _position is taken by the order")
-    plan = mix(documents, **options).groupBy("doc_id").agg(F.min(F.struct("positions", "taken", "size")).alias("p"))
-    plan = plan.select("doc_id", "p.*")
+    names = {c: free_name(f"_mixed_{c}", documents.columns) for c in ("doc_id", "source", "text_key", "position")}
+    keys = ("doc_id", "source", "text_key")
+    plan = _planned(documents, **options).groupBy(*keys).agg(F.min(F.struct("positions", "taken", "size")).alias("p"))
+    plan = plan.select(*keys, "p.*")
     copies = F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + F.lit(0.5)).cast("int")
     copies = F.when(F.col("size") == 0, F.size("positions")).otherwise(copies)
     plan = plan.select(
-        F.col("doc_id").alias("_mixed_id"), F.explode(F.slice("positions", F.lit(1), copies)).alias("_position")
+        *(F.col(c).alias(names[c]) for c in keys), F.explode(F.slice("positions", F.lit(1), copies)).alias(names["position"])
     )
+    same = F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) & F.col("source").eqNullSafe(F.col(names["source"]))
+    same = same & (F.xxhash64("text") == F.col(names["text_key"]))
     return (
-        documents.join(plan, F.col("doc_id").eqNullSafe(F.col("_mixed_id")))
-        .drop("_mixed_id")
-        .repartitionByRange("_position", "doc_id")
-        .sortWithinPartitions("_position", "doc_id")
-        .drop("_position")
+        documents.join(plan, same)
+        .repartitionByRange(names["position"], "doc_id")
+        .sortWithinPartitions(names["position"], "doc_id")
+        .drop(*names.values())
     )

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.llm.words import WORD
+from sheafline.llm.words import WORD, free_name
 from sheafline.session import materialize, ship_package
 
 SHINGLE, LIMIT = 5, 75  # words; percent
@@ -139,8 +139,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([r.tobytes() for r in registers], pa.binary()),
+                    batch.column(2).slice(start, stop - start),
                 ],
-                names=["doc_id", "n_shingles", "digest", "registers"],
+                names=["doc_id", "n_shingles", "digest", "registers", "text_key"],
             )
             start = stop
 
@@ -295,10 +296,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     take part in nothing: component null, kept. Rows that repeat an id are separate texts under one
     name. Other columns are not read; an empty table gives an empty result.
     """
+    return _classes(documents).drop("text_key")
+
+
+def _classes(documents: DataFrame) -> DataFrame:
+    """:func:`near_duplicates` with a hash of the row's text, ``text_key``."""
     ship_package(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = materialize(
-        texts.mapInArrow(_sketched, "doc_id long, n_shingles long, digest binary, registers binary")
+        texts.withColumn("text_key", F.xxhash64("text")).mapInArrow(
+            _sketched, "doc_id long, n_shingles long, digest binary, registers binary, text_key long"
+        )
     )
     real = sketched.filter("doc_id is not null and n_shingles > 0")
     first = real.groupBy("digest").agg(
@@ -367,15 +375,22 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     joined = sketched.drop("registers").join(classes, "digest", "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("class"))
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id",
+        "n_shingles",
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_key",
     )
 
 
 def without_near_duplicates(documents: DataFrame) -> DataFrame:
     """The rows of ``documents``, all columns, of which each group of near duplicates keeps one.
 
-    Rows that repeat an id and its text are one document; rows without an id stay.
+    Rows are matched by id and a hash of the text: of different texts under one id those go that have
+    a near duplicate with a smaller id. Rows that repeat an id and its text are one document; rows
+    without an id stay. The names of other columns do not matter; an empty table stays empty.
     """
-    dropped = near_duplicates(documents).filter("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    left = documents.join(materialize(dropped), F.col("doc_id") == F.col("_dropped"), "left_anti")
-    return left
+    own, key = (free_name(n, documents.columns) for n in ("_dropped_id", "_dropped_key"))
+    dropped = _classes(documents).filter("not kept").select(F.col("doc_id").alias(own), F.col("text_key").alias(key)).distinct()
+    same = (F.col("doc_id") == F.col(own)) & (F.xxhash64("text") == F.col(key))
+    return documents.join(materialize(dropped), same, "left_anti")

@@ -26,3 +26,10 @@ def order_hash(key: Column) -> Column:
     """
     digits = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15)
     return F.conv(digits, 16, 10).cast("long")
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores behind it as make it differ from all ``columns``."""
+    while name in columns:
+        name += "_"
+    return name

@@ -10,7 +10,7 @@ import pytest
 from brute import WORD
 from pyspark.sql import functions as F
 
-from sheafline.llm import curriculum, jump_hash, quality_rules
+from sheafline.llm import curriculum, jump_hash, quality_rules, setsketch
 
 DOCS = "doc_id long, text string, lang string, source string"
 MIXED = [
@@ -222,3 +222,47 @@ def test_small_strata_have_only_their_own_cutoffs(spark):
     assert {x.doc_id for x in quality_rules.kept_documents(df, labels).collect()} == want
     out = quality_rules.judged(df, labels, pooled_below=quality_rules.MIN_GOOD).collect()
     assert {x.lang for x in out if not x["_q_kept"]} == {"en", "small", None, "unlabelled"}
+
+
+ROWS = [(1, "A"), (2, "A"), (2, "B"), (3, "C"), (3, "C"), (None, "A"), (4, None), (4, "")]
+
+
+def _odd_rows(spark):
+    text = {"A": "one two three four five six seven eight", "B": "a text with nothing in common at all", "C": "short"}
+    rows = [(i, text.get(t, t), "s", "en") for i, t in ROWS]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for name in ("_dropped", "_dropped_id", "_mixed_id", "_mixed_doc_id", "_id", "_key", "_row_key", "_stratum", "_has", "_position", "text_key"):
+        df = df.withColumn(name, F.lit(7))
+    return df, text
+
+
+def test_one_id_with_two_texts_and_clashing_names(spark):
+    df, text = _odd_rows(spark)
+    out = setsketch.without_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(
+        map(repr, [(1, text["A"]), (2, text["B"]), (3, text["C"]), (3, text["C"]), (None, text["A"]), (4, None), (4, "")])
+    )
+    mixed = curriculum.mixed_documents(df)
+    assert mixed.columns == df.columns
+    taken = {(r["doc_id"], r["text"]) for r in mixed.collect()}
+    assert (2, text["B"]) in taken
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    kept = quality_rules.kept_documents(df, labels)
+    assert kept.columns == df.columns and kept.collect() == []  # every text has fewer than fifty words
+
+
+def test_stages_on_empty_tables(spark):
+    df, _ = _odd_rows(spark)
+    none = df.limit(0)
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert setsketch.without_near_duplicates(none).collect() == []
+    assert curriculum.mixed_documents(none).collect() == []
+    assert quality_rules.kept_documents(none, labels).collect() == []
+
+
+def test_kept_documents_are_the_judged_ones(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"] for r in quality_rules.kept_documents(docs, labels).select("doc_id").collect()}
+    out = quality_rules.judged(docs, labels, carry=("doc_id", "lang")).filter("_q_kept")
+    assert kept == {r["doc_id"] for r in out.select("doc_id").collect()} and kept
