@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from sheafline.llm.merkle_sql import OP13
 from sheafline.llm.pair_search_sql import OP12
-from sheafline.llm.quality_rules import GRIDS, LEVEL, MIN_GOOD, RISK
+from sheafline.llm.quality_rules import GRIDS, LEVEL, RISK
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -161,31 +161,26 @@ WITH d AS (
 ), good AS (
   SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1
 ), held AS (
-  SELECT false AS pooled, lang AS stratum, rule, number FROM long JOIN good USING (doc_id) WHERE NOT base_failed
-  UNION ALL
-  SELECT true, NULL, rule, number FROM long JOIN good USING (doc_id) WHERE NOT base_failed
+  SELECT lang AS stratum, rule, number FROM long JOIN good USING (doc_id) WHERE NOT base_failed
 ), cells(rule, step, cut) AS (
   VALUES {_CELLS}
 ), tests AS (
-  SELECT pooled, stratum, rule, step, cut, count(*) AS n, count(*) FILTER (number > cut) AS lost
+  SELECT stratum, rule, step, cut, count(*) AS n, count(*) FILTER (number > cut) AS lost
   FROM held JOIN cells USING (rule) GROUP BY ALL
 ), tails AS (
   SELECT *, CASE WHEN lost >= n * {_P} THEN 1 ELSE list_sum([
     exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_P}) + (n - i) * ln(1 - {_P}))
     for i in range(0, lost + 1)]) END AS tail FROM tests
 ), failing AS (
-  SELECT *, tail > {LEVEL}::DOUBLE / ((SELECT count(*) FROM (SELECT DISTINCT pooled, stratum FROM tests)) * {len(GRIDS)})
+  SELECT *, tail > {LEVEL}::DOUBLE / ((SELECT count(*) FROM (SELECT DISTINCT stratum FROM tests)) * {len(GRIDS)})
     AS fails FROM tails
 ), firsts AS (
-  SELECT *, min(step) FILTER (fails) OVER (PARTITION BY pooled, stratum, rule) AS first FROM failing
+  SELECT *, min(step) FILTER (fails) OVER (PARTITION BY stratum, rule) AS first FROM failing
 ), cuts AS (
-  SELECT pooled, stratum, rule, n, min(cut) FILTER (first IS NULL OR step < first) AS cut FROM firsts
-  GROUP BY pooled, stratum, rule, n HAVING pooled OR n >= {MIN_GOOD}
+  SELECT stratum, rule, min(cut) FILTER (first IS NULL OR step < first) AS cut FROM firsts GROUP BY stratum, rule
 ), above AS (
-  SELECT DISTINCT doc_id FROM long
-  LEFT JOIN cuts o ON NOT o.pooled AND o.stratum IS NOT DISTINCT FROM long.lang AND o.rule = long.rule
-  LEFT JOIN cuts p ON p.pooled AND p.rule = long.rule
-  WHERE number > CASE WHEN o.rule IS NOT NULL THEN o.cut ELSE p.cut END
+  SELECT DISTINCT doc_id FROM long JOIN cuts c ON c.stratum IS NOT DISTINCT FROM long.lang AND c.rule = long.rule
+  WHERE number > c.cut
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM above WHERE doc_id IS NOT NULL) AS kept
