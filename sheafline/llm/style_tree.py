@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
@@ -69,7 +70,8 @@ GENERIC = frozenset("div section span ul ol dl table header figure details cente
 LEAST_IMPORTANCE, LEAST_PAGES, CONTENT_PART = 0.2, 8, 0.9
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL
+    # a tag that never closes ends where the next one starts, so no text is scanned from every "<" to its end
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/<>]*+(?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+>", re.DOTALL
 )
 _CUT_TAG = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -94,6 +96,7 @@ class Node:
     chars: int = 0
     control_chars: int = 0
     fields: int = 0
+    block: int = 0  # the element itself or the block element around it
 
 
 @dataclass(slots=True)
@@ -128,13 +131,12 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
     blocks: list[Block] = []
     run: list[tuple[int, str]] = []
 
-    def owner() -> int:
-        return next((k for k in reversed(stack) if nodes[k].tag in BLOCKS), 0)
+    opened: Counter[str] = Counter()  # elements of the stack by tag
 
     def flush() -> None:
         if run:
             if any(not t.isspace() for _, t in run):
-                blocks.append(Block(owner(), run[:]))
+                blocks.append(Block(nodes[stack[-1]].block, run[:]))
             run.clear()
 
     def text(raw: str) -> None:
@@ -142,11 +144,14 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
             run.append((stack[-1], entities.unescape(raw) if "&" in raw else raw))
 
     def close(names: set[str] | frozenset[str], scopes: frozenset[str]) -> None:
+        if not any(opened[n] for n in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = nodes[stack[depth]].tag
             if tag in names:
                 if any(nodes[k].tag in BLOCKS for k in stack[depth:]):
                     flush()
+                opened.subtract(nodes[k].tag for k in stack[depth:])
                 del stack[depth:]
                 return
             if tag in scopes:
@@ -206,6 +211,7 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
         if node.dropped and (tag == "article" or role == "main"):
             node.main = parent.main
         node.fields = int(tag in FIELDS and values.get("type", "").lower() != "hidden")
+        node.block = len(nodes) if tag in BLOCKS else parent.block
         nodes.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
@@ -213,17 +219,17 @@ def parse(page: str | None) -> tuple[list[Node], list[Block]]:
             continue
         if tag not in VOID and not (token.endswith("/>") and tag not in BLOCKS):
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
     flush()
     for block in blocks:
         for element, piece in block.pieces:
-            n, control = len(piece), False
-            while element >= 0:
-                node = nodes[element]
-                control |= node.tag in CONTROLS
-                node.chars += n
-                if control:
-                    node.control_chars += n
-                element = node.parent
+            nodes[element].chars += len(piece)
+    for node in reversed(nodes):  # an element comes after the one around it
+        if node.tag in CONTROLS:
+            node.control_chars = node.chars
+        if node.parent >= 0:
+            nodes[node.parent].chars += node.chars
+            nodes[node.parent].control_chars += node.control_chars
     # fields count for the form around them
     forms: list[int] = []
     for k, node in enumerate(nodes):
@@ -275,12 +281,12 @@ def main_text(
     page: str | None,
     low: frozenset[int] = frozenset(),
     repeated: frozenset[int] = frozenset(),
-    few: bool = False,
 ) -> str:
     """The article's blocks, one per line; the blocks of <article> or <main> if they have text.
 
-    Blocks whose :func:`content_key` is in ``repeated`` are left out, unless nothing else is left or,
-    on a host of ``few`` pages, they are most of the text: the page is then a near copy of another.
+    Blocks whose :func:`content_key` is in ``repeated`` are left out, unless they are most of the text:
+    the page is then a near copy of others (a mirror, a press release, a version), at any number of
+    pages of the host.
     """
     nodes, blocks = parse(page)
     gone = removed(nodes, low)
@@ -290,7 +296,7 @@ def main_text(
     if repeated:
         own = [x for x in kept if content_key(nodes, x[2]) not in repeated]
         chars = sum(len(t) for _, t, _ in own)
-        if chars and not (few and 2 * chars < sum(len(t) for _, t, _ in kept)):
+        if 2 * chars >= sum(len(t) for _, t, _ in kept):
             kept = own
     return "\n".join(t for _, t, _ in kept)
 
@@ -414,10 +420,10 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(start, 256)
             sets: dict[str | None, tuple[frozenset[int], frozenset[int]]] = {}  # a host's lists are read once
             texts = []
-            for host, page, low, repeated, few in zip(*(part.column(c) for c in range(2, 7))):
+            for host, page, low, repeated in zip(*(part.column(c) for c in range(2, 6))):
                 if (name := host.as_py()) not in sets:
                     sets[name] = frozenset(low.as_py() or ()), frozenset(repeated.as_py() or ())
-                texts.append(main_text(page.as_py(), *sets[name], bool(few.as_py())))
+                texts.append(main_text(page.as_py(), *sets[name]))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
@@ -439,8 +445,7 @@ def extract(pages: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list("key")).alias("low"))
     )
     repeated = repeated_contents(counted).groupBy("host").agg(
-        F.sort_array(F.collect_list("content")).alias("repeated"),
-        (F.max("host_pages") < LEAST_PAGES).alias("few"),
+        F.sort_array(F.collect_list("content")).alias("repeated")
     )
     lists = materialize(low.join(repeated, "host", "full"))
 
@@ -452,6 +457,6 @@ def extract(pages: DataFrame) -> DataFrame:
     return (
         plain.withColumn("host", host("url"))
         .join(lists, "host", "left")
-        .select("page_id", "url", "host", "html", "low", "repeated", "few")
+        .select("page_id", "url", "host", "html", "low", "repeated")
         .mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
     )

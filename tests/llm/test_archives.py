@@ -3,8 +3,10 @@
 import gzip
 import hashlib
 import random
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sheafline.llm import arc_convert, lsh_forest, style_tree
@@ -156,6 +158,27 @@ def test_repeated_blocks_of_any_tag_are_found(spark):
     assert {x.page_id: x.text for x in style_tree.extract(df).collect()} == want
 
 
+@pytest.mark.parametrize("copies, pages", [(2, 2), (7, 7), (9, 9), (9, 12), (12, 20)])
+def test_near_copies_keep_their_article(spark, copies, pages):
+    """Pages that share most of their article keep it, however many pages their host has."""
+    shared = [f"Paragraph {i} of the press release tells what many readers wanted to know." for i in range(8)]
+    rows, want = [], {}
+    for i in range(pages):
+        body = [f"Title {i}", *(shared if i < copies else [f"Page {i} has sentence {k} of its own." for k in range(8)]), f"Printed by site {i}."]
+        rows.append((i, f"http://m.example/{i}", "<article>" + "".join(f"<p>{p}</p>" for p in body) + "</article>"))
+        want[i] = "\n".join(body)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in style_tree.extract(df).collect()} == want
+
+
+def test_unclosed_tags_are_scanned_once():
+    deep = "<b>" * 20_000 + "x<div>y</div>" * 20_000, "<div>x" * 20_000, "<p>x" * 20_000 + "</div>" * 20_000
+    for page in ("<a " * 70_000, "<a x='" * 40_000, "<p>text " + "<b y=\"" * 40_000, "<a" * 100_000, *deep):
+        start = time.perf_counter()
+        style_tree.parse(page)
+        assert time.perf_counter() - start < 1
+
+
 def test_forest_recall_and_order(spark):
     r = np.random.default_rng(0)
     x = r.standard_normal((700, 16)).astype(np.float32)
