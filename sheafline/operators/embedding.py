@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheafline.functions.numbers import bind
 from sheafline.functions.text import first_span, strip_marks
 from sheafline.session import spread
 
@@ -27,46 +25,31 @@ def clean_corpus(df: DataFrame) -> DataFrame:
 
 
 def hashed_vector(text: Column, dims: int = 64, n: int = 3) -> Column:
-    """Signed feature hashing of the character n-grams of a text, L2-normalised; in the JVM.
+    """Signed feature hashing of the character n-grams of a text, L2-normalised.
 
     A gram's hash is a polynomial of its code points modulo a prime, which any engine can reproduce:
-    it picks the dimension and the sign. The signs of a dimension are added up in two levels (about
-    twice the square root of ``dims`` looks at each gram), without rows or strings per gram. A null
-    text gives null, a text of fewer than ``n`` characters zeros.
+    it picks the dimension and the sign. A text's grams are hashed at once, as an array of numbers. A
+    null text gives null, a text of fewer than ``n`` characters zeros.
     """
-    width = math.isqrt(dims - 1) + 1
-    codes = F.transform(F.regexp_extract_all(F.lower(text), F.lit("(?s)."), F.lit(0)), F.ascii)
 
-    def slots(c: Column) -> Column:
-        def slot(i: Column) -> Column:
-            h = F.lit(0).cast("long")
-            for k in range(n):
-                h = (h * HASH_FACTOR + F.get(c, i + k)) % HASH_PRIME
-            return (h * HASH_MIX % HASH_PRIME % (2 * dims)).cast("int")  # twice the dimension, plus the sign
+    def vector(t: str | None) -> np.ndarray | None:
+        if t is None:
+            return None
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        h = np.zeros(max(len(codes) - n + 1, 0), np.int64)
+        for k in range(n):
+            h = (h * HASH_FACTOR + codes[k : k + len(h)]) % HASH_PRIME
+        slot = h * HASH_MIX % HASH_PRIME % (2 * dims)  # twice the dimension, plus the sign
+        counts = np.bincount(slot, minlength=2 * dims)
+        out = (counts[0::2] - counts[1::2]).astype(np.float64)
+        norm = np.sqrt((out * out).sum())
+        return (out / norm if norm else out).astype(np.float32)
 
-        return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), slot)).otherwise(F.array().cast("array<int>"))
-
-    def sums(found: Column) -> Column:
-        def part(high: Column) -> Column:
-            low = high * (2 * width)
-            near = F.transform(F.filter(found, lambda s: (s >= low) & (s < low + 2 * width)), lambda s: s - low)
-
-            def one(mine: Column) -> Column:
-                return F.transform(
-                    F.sequence(F.lit(0), F.lit(width - 1)),
-                    lambda d: F.aggregate(mine, F.lit(0), lambda a, s: a + F.when(s == 2 * d, 1).when(s == 2 * d + 1, -1).otherwise(0)),
-                )
-
-            return bind(near, one)
-
-        return F.slice(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), part)), 1, dims)
-
-    def unit(v: Column) -> Column:
-        norm = F.sqrt(F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + x * x))
-        return bind(norm, lambda r: F.transform(v, lambda x: (x / F.when(r > 0, r).otherwise(1.0)).cast("float")))
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series([vector(t) for t in texts], index=texts.index, dtype=object)
 
-    vector = bind(codes, lambda c: bind(slots(c), lambda f: bind(sums(f), unit)))
-    return F.when(text.isNotNull(), vector)
+    return vectors(F.lower(text))
 
 
 def hashed_ngrams(df: DataFrame, text: str, output: str, dims: int = 64, n: int = 3) -> DataFrame:
