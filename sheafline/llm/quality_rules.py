@@ -8,7 +8,7 @@ strata and rules (Bonferroni), so with probability ``1 - level`` every cutoff ke
 risks of the rules add up to ``risk``. A stratum has only cutoffs that its own test certifies: with too
 few labels, or none, it has no cutoff, and only the base conditions reject there. The option
 ``pooled_below`` lends small strata the cutoffs of all documents together, which promises nothing for
-the small stratum itself; no query and no stage uses it.
+the small stratum itself: the query op10 uses it, as its SQL does, the pipeline does not.
 """
 
 from __future__ import annotations

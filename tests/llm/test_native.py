@@ -6,11 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import pytest
 from brute import WORD
 from pyspark.sql import functions as F
 
 from sheafline.llm import curriculum, jump_hash, quality_rules, setsketch
+from sheafline.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string, lang string, source string"
 MIXED = [
@@ -224,6 +226,28 @@ def test_small_strata_have_only_their_own_cutoffs(spark):
     assert {x.lang for x in out if not x["_q_kept"]} == {"en", "small", None, "unlabelled"}
 
 
+def test_query_judges_small_strata_as_its_sql(spark, tmp_path):
+    """Texts with symbols in strata too small for a test of their own, by the cutoffs of all documents."""
+    rows, labels = [], []
+    for i in range(900):
+        lang = {0: "small", 30: "small", 1: None, 2: "unlabelled", 32: "unlabelled"}.get(i, "en")
+        bad = lang == "en" and i % 5 == 0
+        marked = bad or i in (0, 1, 2)
+        rows.append((i, " ".join(f"w{i}x{k}" + ("***" if marked else "") for k in range(60)), lang))
+        if lang != "unlabelled":
+            labels.append((i, int(not bad), 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r["doc_id"]: r["kept"] for r in QUERIES["op10_risk_rules"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    names = [c[0] for c in con.execute(ORACLES["op10_risk_rules"]).description]
+    told = con.execute(ORACLES["op10_risk_rules"]).fetchall()
+    assert out == {r[names.index("doc_id")]: r[names.index("kept")] for r in told}
+    assert [out[i] for i in (0, 30, 1, 2, 32, 3, 5)] == [False, True, False, False, True, True, False]
+
+
 ROWS = [(1, "A"), (2, "A"), (2, "B"), (3, "C"), (3, "C"), (None, "A"), (4, None), (4, "")]
 
 
