@@ -7,6 +7,7 @@ the JVM. Scorers with side effects must be idempotent: Spark may run a task agai
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 
@@ -21,12 +22,13 @@ from sheafline.functions.text import (
     render_prompt,
     strip_newlines,
 )
-from sheafline.session import spread
+from sheafline.session import scratch_dir, spread
 
 Scorer = Callable[[list[str]], list[str]]
 REPLY_TYPE = "struct<reply:string,error:string>"
 DEFAULT_GAP_SECONDS = 0.1  # fixed value: pause between requests without a rate
 STRICT_RATE = 10  # fixed value: below this many requests per minute one worker only
+ROUND_BYTES = 32 << 20  # what one worker of a throttled run is sent in a round, about
 
 
 def _reply_or_raise(scorer: Scorer, texts: list[str]) -> list[str]:
@@ -176,15 +178,39 @@ def score_throttled(
     workers: int = 10,
     text: str = "text",
     default_gap: float = DEFAULT_GAP_SECONDS,
+    round_bytes: int = ROUND_BYTES,
 ) -> DataFrame:
     """Scoring below a request rate shared by ``workers`` partitions.
 
-    The rate itself bounds the rows of a run, so few partitions are the point here, not a bottleneck.
-    The partition count is fixed by ``repartition``; AQE does not merge it.
+    The rate itself bounds the requests, so few partitions at a time are the point here. What would send
+    a partition more than ``round_bytes`` is written once, dealt into rounds of that size; they are scored
+    one after the other and written, so a task's share does not grow with the table and never more than
+    ``workers`` of them send requests. A table of one round is scored where the result is read. The
+    partition count is fixed by ``repartition``; AQE does not merge it.
     """
     k, gap = throttle_plan(queries_per_minute, workers, default_gap)
-    scored = df.repartition(k).withColumn("_r", reply_udf(factory, gap=gap)(strip_newlines(text)))
-    return _attach(scored, "_r")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        return _attach(rows.repartition(k).withColumn("_r", reply_udf(factory, gap=gap)(strip_newlines(text))), "_r")
+
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(0).cast("long"))
+    rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    rounds = math.ceil(total / (k * round_bytes))
+    if rounds <= 1:
+        return scored(df)
+    # runs of neighbouring rows, a quarter of a round each: few files, whatever the partitions' sizes
+    run = max(1, rows // (4 * rounds))
+    at = F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / F.lit(run))
+    dealt, done = scratch_dir(df.sparkSession), scratch_dir(df.sparkSession)
+    numbered = df.withColumn("_round", F.pmod(F.spark_partition_id() + at, F.lit(rounds)).cast("int"))
+    numbered.write.partitionBy("_round").parquet(dealt)
+    parts = df.sparkSession.read.schema(numbered.schema).parquet(dealt)
+    for i in range(rounds):
+        if i:
+            time.sleep(gap)  # a round's first requests come no sooner after the last ones than any other
+        part = scored(parts.filter(F.col("_round") == i).select(*df.columns))
+        part.write.mode("append").parquet(done)
+    return df.sparkSession.read.schema(part.schema).parquet(done)
 
 
 def dry_run(df: DataFrame, system: str, text: str = "text", budget: str = "in_budget") -> DataFrame:

@@ -267,6 +267,29 @@ def test_throttle(spark):
     assert time.monotonic() - start > 0.9  # 10 requests per worker, 0.1 s apart
 
 
+def counting_scorer():
+    """Replies with the number of texts this worker has been sent."""
+    sent = []
+
+    def score(texts):
+        sent.extend(texts)
+        return [str(len(sent))] * len(texts)
+
+    return score
+
+
+def test_throttled_rounds(spark):
+    """A worker's share of a round is bounded in bytes; rows that repeat or have no text are all there."""
+    data = [(i // 2, None if i % 50 == 0 else "x" * 100) for i in range(600)]
+    df = spark.createDataFrame(data, "id long, text string")
+    one = scoring.score_throttled(df, length_scorer, queries_per_minute=6e6, workers=2)
+    many = scoring.score_throttled(df, length_scorer, queries_per_minute=6e6, workers=2, round_bytes=4000)
+    assert many.columns == one.columns
+    assert Counter(map(tuple, many.collect())) == Counter(map(tuple, one.collect()))
+    counted = scoring.score_throttled(df, counting_scorer, queries_per_minute=6e6, workers=2, round_bytes=4000)
+    assert max(int(r["ai_reply"]) for r in counted.collect()) <= 80  # 300 in one round
+
+
 def test_pick_model(spark):
     df = spark.createDataFrame([("p", None), ("p", ""), ("p", "m")], "provider string, model string")
     assert [r["model"] for r in scoring.pick_model(df, {"p": "d"}).collect()] == ["d", "d", "m"]
