@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from sheafline.session import spread
 
 Encoder = Callable[[list[str]], np.ndarray]
 
+PIECE = 1 << 16  # grams of a text that are hashed at once
 HASH_FACTOR, HASH_MIX, HASH_PRIME = 1_000_003, 48_271, 2_147_483_647
 
 
@@ -24,30 +26,42 @@ def clean_corpus(df: DataFrame) -> DataFrame:
     )
 
 
+def hash_texts(texts: pa.Array, dims: int, n: int) -> pa.Array:
+    """The vectors of :func:`hashed_vector`; one text of the batch is a Python string at a time."""
+
+    def vector(t: str) -> np.ndarray:
+        counts = np.zeros(2 * dims, np.int64)
+        for low in range(0, len(t) - n + 1, PIECE):
+            codes = np.frombuffer(t[low : low + PIECE + n - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            h = np.zeros(len(codes) - n + 1, np.int64)
+            for k in range(n):
+                h = (h * HASH_FACTOR + codes[k : k + len(h)]) % HASH_PRIME
+            slot = h * HASH_MIX % HASH_PRIME % (2 * dims)  # twice the dimension, plus the sign
+            counts += np.bincount(slot, minlength=2 * dims)
+        out = (counts[0::2] - counts[1::2]).astype(np.float64)
+        norm = np.sqrt((out * out).sum())
+        return (out / norm if norm else out).astype(np.float32)
+
+    out = np.zeros((len(texts), dims), np.float32)
+    for i, t in enumerate(texts):
+        if t.is_valid:
+            out[i] = vector(t.as_py())
+    ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dims)
+    return pa.ListArray.from_arrays(ends, pa.array(out.reshape(-1)), mask=texts.is_null())
+
+
 def hashed_vector(text: Column, dims: int = 64, n: int = 3) -> Column:
     """Signed feature hashing of the character n-grams of a text, L2-normalised.
 
     A gram's hash is a polynomial of its code points modulo a prime, which any engine can reproduce:
-    it picks the dimension and the sign. A text's grams are hashed at once, as an array of numbers. A
-    null text gives null, a text of fewer than ``n`` characters zeros.
+    it picks the dimension and the sign. A text's grams are hashed as arrays of numbers, ``PIECE`` at a
+    time, so a worker holds little besides Spark's batch of texts. A null text gives null, a text of
+    fewer than ``n`` characters zeros.
     """
 
-    def vector(t: str | None) -> np.ndarray | None:
-        if t is None:
-            return None
-        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        h = np.zeros(max(len(codes) - n + 1, 0), np.int64)
-        for k in range(n):
-            h = (h * HASH_FACTOR + codes[k : k + len(h)]) % HASH_PRIME
-        slot = h * HASH_MIX % HASH_PRIME % (2 * dims)  # twice the dimension, plus the sign
-        counts = np.bincount(slot, minlength=2 * dims)
-        out = (counts[0::2] - counts[1::2]).astype(np.float64)
-        norm = np.sqrt((out * out).sum())
-        return (out / norm if norm else out).astype(np.float32)
-
-    @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        return pd.Series([vector(t) for t in texts], index=texts.index, dtype=object)
+    @F.arrow_udf("array<float>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        return hash_texts(texts, dims, n)
 
     return vectors(F.lower(text))
 

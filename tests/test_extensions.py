@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,18 @@ def test_hashed_vector(spark, dims):
         assert len(row) == dims and np.allclose(row, hashed(text, dims), atol=1e-6)
 
 
+def test_hashing_holds_little_besides_the_batch():
+    texts = pa.array(["der text %d " % i * 400 for i in range(2000)] + [None, "ab" * 400_000])
+    tracemalloc.start()
+    rows = embedding.hash_texts(texts, 32, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # the texts are 10 MB, the grams of the last one as numbers 6 MB an array
+    assert rows[2000].as_py() is None and len(rows) == 2002
+    for i in (0, 7, 2001):
+        assert np.allclose(rows[i].as_py(), hashed(texts[i].as_py(), 32), atol=1e-6)
+
+
 # ---- verification of files --------------------------------------------------------------------
 
 
