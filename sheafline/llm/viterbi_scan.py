@@ -10,6 +10,10 @@ numbers, so the sums are the same in any order.
 Within a chunk, a blank that follows another character always starts a piece, so only the parts
 before the first and after the last such place depend on the border states (the matrix has rank one
 in the max-plus sense); a chunk without such a place gets the full matrix.
+
+Everything between two such places is a unit that is cut on its own. Texts are taken some millions of
+characters at a time: their distinct units are cut together, position by position over all units of
+similar length, and every unit of the texts then takes the ids of its distinct one.
 """
 
 from __future__ import annotations
@@ -17,11 +21,14 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +42,30 @@ BLANK = "▁"
 ESCAPE, MARKED = "\ue000", "\ue001"
 SCALE = 1 << 20
 LOWEST = -(1 << 60)
-CACHE = 1 << 16
+#: Characters whose units are cut together, cells of a block of units, and the fewest units of similar
+#: length that are cut as a block.
+AT_ONCE = 1 << 22
+CELLS = 1 << 18
+FEW = 64
 
 _UNITS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 _ESCAPED = re.compile(f"{ESCAPE}([{ESCAPE}{MARKED}])")
 _BORDER = re.compile(f"(?<=[^{BLANK}]){BLANK}")
 
 
+@dataclass
+class Trie:
+    """The piece table as arrays: nodes are prefixes of pieces, 0 the empty one. The child of ``node``
+    by a character of number ``c`` is ``child[base[node] + c]`` where ``owner`` there is ``node``."""
+
+    number: np.ndarray  # of a code point; 0: in no piece
+    base: np.ndarray
+    owner: np.ndarray
+    child: np.ndarray
+    piece: np.ndarray  # id of the node's piece or -1
+    value: np.ndarray
+
+
 @dataclass
 class Pieces:
     """A piece table: prefix of a piece -> (id or -1, score), byte ids, and the longest piece."""
@@ -51,7 +75,10 @@ class Pieces:
     strings: list[str]
     longest: int
     unknown: int
-    cache: dict[str, tuple[int, tuple[int, ...]]] = field(default_factory=dict)
+
+    @cached_property
+    def trie(self) -> Trie:
+        return trie_of(self.table)
 
 
 def read_pieces(model_file: str = MODEL) -> list[tuple[str, float, str]]:
@@ -89,6 +116,43 @@ def build(pieces: list[tuple[str, float, str]]) -> Pieces:
     return Pieces(table, byte_ids, [p for p, _, _ in pieces], longest, lowest - 10 * SCALE)
 
 
+def trie_of(table: dict[str, tuple[int, int]]) -> Trie:
+    """Bases are the first that fit, nodes with many children first; an only child takes any free slot."""
+    letters = {c: k for k, c in enumerate(sorted({t[-1] for t in table}), 1)}
+    number = np.zeros(0x110000, np.int64)
+    number[[ord(c) for c in letters]] = list(letters.values())
+    node = {"": 0, **{t: k for k, t in enumerate(table, 1)}}
+    below: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    piece, value = np.full(len(node), -1, np.int32), np.zeros(len(node), np.int64)
+    for t, (known, v) in table.items():
+        below[node[t[:-1]]].append((letters[t[-1]], node[t]))
+        piece[node[t]], value[node[t]] = known, v
+    base, at = np.zeros(len(node), np.int64), 0
+    reach = len(letters) + 1
+    owner = np.full(2 * len(node) + reach, -1, np.int64)
+    child = np.zeros(len(owner), np.int64)
+    for parent, children in sorted(below.items(), key=lambda x: -len(x[1])):
+        if len(children) == 1:
+            break
+        by, to = np.array(children).T
+        while (owner[at + by] >= 0).any():
+            at += 1
+            if at + reach > len(owner):
+                owner = np.append(owner, np.full(len(owner), -1))
+                child = np.append(child, np.zeros(len(child), np.int64))
+        base[parent], owner[at + by], child[at + by] = at, parent, to
+    only = [(parent, *x[0]) for parent, x in below.items() if len(x) == 1]
+    if only:
+        parent, by, to = np.array(only).T
+        owner = np.append(owner, np.full(len(only), -1))
+        child = np.append(child, np.zeros(len(only), np.int64))
+        slot = reach + np.flatnonzero(owner[reach:] < 0)[: len(only)]
+        base[parent], owner[slot], child[slot] = slot - by, parent, to
+    # a base is at most the last slot: every character's slot is in the arrays
+    owner = np.append(owner, np.full(reach, -1))
+    return Trie(number, base, owner, np.append(child, np.zeros(reach, np.int64)), piece, value)
+
+
 def normalized(text: str) -> str:
     """Blanks as blank marks, one in front; literal blank marks are told apart."""
     if not text:
@@ -176,21 +240,128 @@ def unit_path(p: Pieces, unit: str) -> tuple[int, list[int]]:
 
 def encode_units(p: Pieces, text: str) -> tuple[int, list[int]]:
     """Score and ids of a text that starts and ends at piece borders."""
-    total, ids, cache = 0, [], p.cache
+    total, ids = 0, []
     for unit in _UNITS.findall(text):
-        found = cache.get(unit)
-        if found is None:
-            score, path = unit_path(p, unit)
-            found = (score, tuple(path))
-            if len(unit) <= 64:
-                if len(cache) >= CACHE:
-                    cache.clear()
-                cache[unit] = found
-        total += found[0]
-        ids.extend(found[1])
+        score, path = unit_path(p, unit)
+        total += score
+        ids.extend(path)
     return total, ids
 
 
+def _block_paths(p: Pieces, letters: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`unit_path` of many units: (ids of all units, one after the other; number of each's ids).
+
+    ``letters`` are code points by [unit, position], 0 behind a unit's end; ``sizes`` do not rise."""
+    t = p.trie
+    n, width = letters.shape
+    number = np.ascontiguousarray(t.number[letters].T)
+    number[np.arange(width)[:, None] >= sizes] = 0  # no piece reaches beyond its unit
+    score = np.full((width + 1, n), LOWEST, np.int64)
+    score[0] = 0
+    source, piece = np.zeros(score.shape, np.int32), np.full(score.shape, -1, np.int32)
+
+    def offer(at: int, end: int, who: np.ndarray, known, value) -> None:
+        value = score[at, who] + value
+        better = value >= score[end, who]
+        who = who[better]
+        score[end, who], source[end, who] = value[better], at
+        piece[end, who] = known if np.isscalar(known) else known[better]
+
+    for at in range(width):
+        alive = int(np.searchsorted(-sizes, -at))  # units with more than ``at`` characters
+        who, node, end = np.arange(alive), np.zeros(alive, np.int64), at
+        single = np.zeros(alive, bool)
+        while end < width:
+            slot = t.base[node] + number[end, who]
+            found = t.owner[slot] == node
+            who, node = who[found], t.child[slot[found]]
+            end += 1
+            if not who.size:
+                break
+            known = t.piece[node]
+            whole = known >= 0
+            if end == at + 1:
+                single[who[whole]] = True
+            offer(at, end, who[whole], known[whole], t.value[node[whole]])
+        offer(at, at + 1, np.flatnonzero(~single), -1, p.unknown)
+
+    path = np.full((n, width), -2, np.int32)  # by the pieces' starts; -2 where none starts
+    who, at = np.arange(n), sizes.astype(np.int64)
+    while who.size:
+        known, at = piece[at, who], source[at, who]
+        path[who, at] = known
+        who, at = who[at > 0], at[at > 0]
+    unit, at = np.nonzero(path != -2)
+    ids, count = path[unit, at], np.ones(len(unit), np.int64)
+    bare = np.flatnonzero(ids == -1)
+    if bare.size:
+        c = letters[unit[bare], at[bare]]
+        count[bare] = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        ids = np.repeat(ids, count)
+        raw = c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+        ids[ids == -1] = np.array(p.byte_ids, np.int32)[np.frombuffer(raw, np.uint8)]
+    return ids, np.bincount(unit, count, n).astype(np.int64)
+
+
+def _distinct_paths(p: Pieces, letters: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    """The ids of units; unit k is letters[offsets[k] : offsets[k + 1]], none is empty."""
+    sizes = np.diff(offsets)
+    order = np.argsort(-sizes, kind="stable")
+    ids, counts = [], []
+    at = 0
+    while at < len(order):
+        width = int(sizes[order[at]])
+        some = order[at : at + max(CELLS // width, 1)]
+        if len(some) < FEW or 2 * sizes[some[FEW - 1]] < width:
+            some = some[:1]
+            k = offsets[some[0]]
+            unit = letters[k : k + width].tobytes().decode("utf-32-le", "surrogatepass")
+            path = unit_path(p, unit)[1]
+            ids.append(np.array(path, np.int32))
+            counts.append(np.array([len(path)]))
+        else:
+            inside = np.arange(width) < sizes[some][:, None]
+            where = np.where(inside, offsets[some][:, None] + np.arange(width), 0)
+            path, count = _block_paths(p, np.where(inside, letters[where], 0), sizes[some])
+            ids.append(path)
+            counts.append(count)
+        at += len(some)
+    ends = np.concatenate([[0], *counts]).cumsum()
+    solved = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+    return solved.take(pa.array(np.argsort(order)))
+
+
+def encode_texts(p: Pieces, texts: list[str]) -> pa.ListArray:
+    """The ids of :func:`encode_units` of every text."""
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    if not len(letters):
+        return pa.array([[] for _ in texts], pa.list_(pa.int32()))
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    blank = letters == ord(BLANK)
+    border = blank.copy()
+    border[1:] &= ~blank[:-1]
+    border[first[first < len(letters)]] = True
+    starts = np.flatnonzero(border)
+    offsets = pa.py_buffer(np.append(starts, len(letters)) * 4)
+    units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(letters)])
+    units = units.dictionary_encode()
+    _, distinct, data = units.dictionary.buffers()
+    distinct = np.frombuffer(distinct, np.int64)[: len(units.dictionary) + 1] // 4
+    ids = _distinct_paths(p, np.frombuffer(data, "<u4"), distinct).take(units.indices)
+    at = ids.offsets.to_numpy()[np.searchsorted(starts, first)]
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids.values)
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts in ``column`` have about ``AT_ONCE`` characters at most."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for start, stop in zip(cuts, cuts[1:]):
+        if start < stop:
+            yield batch.slice(start, stop - start)
+
+
 def chunks_of(p: Pieces, text: str, size: int) -> list[tuple[str, int]]:
     """(chunk with the characters that a piece may reach beyond it, own length) of a long text."""
     return [(text[k : k + size + p.longest - 1], min(size, len(text) - k)) for k in range(0, len(text), size)]
@@ -292,17 +463,21 @@ def border_states(matrices: list[np.ndarray], orders: list[np.ndarray] | None =
     return [0, *reversed(states)]
 
 
-def trace(p: Pieces, text: str, own: int, enter: int, leave: int) -> list[int]:
-    """Ids of the pieces that start in the chunk, between two border states."""
+def ends(p: Pieces, text: str, own: int, enter: int, leave: int) -> tuple[list[int], str, list[int]]:
+    """What :func:`trace` joins: the ids up to the first border that no state can jump over, the text
+    to the last one, and the ids from there on."""
     inner = _inner(p, text, own)
     if inner is None:
-        return best_path(p, text, enter, own + leave)[1]
+        return best_path(p, text, enter, own + leave)[1], "", []
     first, last = inner
-    return (
-        best_path(p, text, enter, first)[1]
-        + encode_units(p, text[first:last])[1]
-        + best_path(p, text, last, own + leave)[1]
-    )
+    tail = text[last : own + leave]
+    return best_path(p, text, enter, first)[1], text[first:last], best_path(p, tail, 0, len(tail))[1]
+
+
+def trace(p: Pieces, text: str, own: int, enter: int, leave: int) -> list[int]:
+    """Ids of the pieces that start in the chunk, between two border states."""
+    head, middle, tail = ends(p, text, own, enter, leave)
+    return head + encode_units(p, middle)[1] + tail
 
 
 def decode(p: Pieces, ids: Iterable[int]) -> str:
@@ -356,12 +531,9 @@ def encode(df: DataFrame, shared, key: str = "doc_id", text: str = "text", chunk
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(shared)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                ids = [encode_units(p, normalized(t.as_py() or ""))[1] for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"]
-                )
+            for part in slices(batch, 1):
+                ids = encode_texts(p, [normalized(t or "") for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["key", "ids"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(shared)
@@ -408,11 +580,17 @@ def encode(df: DataFrame, shared, key: str = "doc_id", text: str = "text", chunk
     def traces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _pieces(shared)
         for batch in batches:
-            key_, row, n, text_, own, enter, leave = batch.columns
-            ids = [trace(p, *(x.as_py() for x in at)) for at in zip(text_, own, enter, leave)]
-            yield pa.RecordBatch.from_arrays(
-                [key_, row, n, pa.array(ids, pa.list_(pa.int32()))], names=["key", "row", "n", "ids"]
-            )
+            for part in slices(batch, 3):
+                key_, row, n, *cut_ = part.columns
+                heads, middles, tails = zip(*(ends(p, *at) for at in zip(*(c.to_pylist() for c in cut_))))
+                inner = encode_texts(p, middles)
+                ids = [
+                    np.concatenate([h, m.values, t], dtype=np.int32, casting="unsafe")
+                    for h, m, t in zip(heads, inner, tails)
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [key_, row, n, pa.array(ids, pa.list_(pa.int32()))], names=["key", "row", "n", "ids"]
+                )
 
     direct = rows.filter(~long).mapInArrow(short, f"key {key_type}, ids array<int>")
     cut = materialize(

@@ -171,6 +171,31 @@ def test_encoding_round_trip(spark, pieces):
     assert viterbi_scan.encode(df.limit(0), shared).count() == 0
 
 
+def test_texts_cut_together_have_the_ids_of_each_alone(pieces, monkeypatch):
+    r = random.Random(7)
+    table = [(f"<{b}>", 0.0, "byte") for b in range(256)] + [(c, -1.0, "piece") for c in ("▁", "a", "aa", "ab", "b")]
+    even = viterbi_scan.build(table)
+    for p, cells, few in ((pieces, 1 << 18, 64), (pieces, 1 << 12, 1), (even, 1 << 12, 4)):
+        monkeypatch.setattr(viterbi_scan, "CELLS", cells)
+        monkeypatch.setattr(viterbi_scan, "FEW", few)
+        texts = ["", *(viterbi_scan.normalized(random_text(r, 120)) for _ in range(150)), "▁▁", "a▁b", ""]
+        texts += ["▁" + "".join(r.choice("aaab▁") for _ in range(30)) for _ in range(100)]
+        expected = [viterbi_scan.encode_units(p, t)[1] for t in texts]
+        assert viterbi_scan.encode_texts(p, texts).to_pylist() == expected
+    assert viterbi_scan.encode_texts(pieces, ["", ""]).to_pylist() == [[], []]
+
+
+def test_distinct_words_are_not_cut_one_by_one(pieces, monkeypatch):
+    r = random.Random(8)
+    words = ["".join(r.choice("etaoinshrdluбвгде") for _ in range(r.randint(3, 11))) for _ in range(20000)]
+    text = viterbi_scan.normalized(" ".join(words))
+    alone, plain = [], viterbi_scan.unit_path
+    monkeypatch.setattr(viterbi_scan, "unit_path", lambda p, unit: alone.append(unit) or plain(p, unit))
+    ids = viterbi_scan.encode_texts(pieces, [text])[0].as_py()
+    assert len(alone) < viterbi_scan.FEW
+    assert viterbi_scan.decode(pieces, ids) == " ".join(words)
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(3)
     good = r.random(20000) < 0.8
