@@ -557,10 +557,10 @@ def encode(df: DataFrame, shared, key: str = "doc_id", text: str = "text", chunk
         for batch in batches:
             made = [
                 np.stack(ordered_transfer(p, t.as_py(), n.as_py())).tobytes()
-                for t, n in zip(batch.column(2), batch.column(3))
+                for t, n in zip(batch.column(3), batch.column(4))
             ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["row", "n", "matrix"]
+                [batch.column(1), batch.column(2), pa.array(made, pa.binary())], names=["row", "n", "matrix"]
             )
 
     def states(group: pa.Table) -> pa.Table:
@@ -598,13 +598,13 @@ def encode(df: DataFrame, shared, key: str = "doc_id", text: str = "text", chunk
     )
     spread = cut.repartition("row", "n")
     borders = (
-        spread.select("row", "n", "chunk", "own")
-        .mapInArrow(matrices, "row string, n int, matrix binary")
+        spread.mapInArrow(matrices, "row string, n int, matrix binary")
         .groupBy("row")
         .applyInArrow(states, "row string, n int, enter int, leave int")
     )
+    # every chunk has its borders; a left join adds no filter, so both uses share one shuffle of the texts
     traced = (
-        cut.join(borders, ["row", "n"])
+        spread.join(borders, ["row", "n"], "left")
         .select("key", "row", "n", "chunk", "own", "enter", "leave")
         .mapInArrow(traces, f"key {key_type}, row string, n int, ids array<int>")
     )

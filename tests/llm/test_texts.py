@@ -196,6 +196,17 @@ def test_distinct_words_are_not_cut_one_by_one(pieces, monkeypatch):
     assert viterbi_scan.decode(pieces, ids) == " ".join(words)
 
 
+def test_long_texts_are_shuffled_once_and_equal_whole_ones(spark, pieces):
+    r = random.Random(9)
+    texts = [random_text(r, 300) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encoded = viterbi_scan.encode(df, viterbi_scan.share(spark), chunk=64)
+    ids = {x.doc_id: x.ids for x in encoded.collect()}
+    assert "ReusedExchange" in encoded._jdf.queryExecution().executedPlan().toString()
+    whole = [viterbi_scan.encode_units(pieces, viterbi_scan.normalized(t))[1] for t in texts]
+    assert [ids[k] for k in range(len(texts))] == whole
+
+
 def test_label_model_finds_accuracies():
     r = np.random.default_rng(3)
     good = r.random(20000) < 0.8
